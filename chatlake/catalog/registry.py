@@ -9,7 +9,7 @@ from chatlake.sources.testdata import TestData
 
 REGISTRY: dict[str, tuple[Callable[[TestData], DataFrame], str | None]] = {}
 
-TOPICS = ("reports",)
+TOPICS = ("reports", "conversations", "ingestion")
 
 
 def query(name: str, sql: str | None = None):

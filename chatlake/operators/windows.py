@@ -13,22 +13,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.functions import kinds, times
 from chatlake.plans.ordered import Ordered, bounded_broadcast
 
-GAP = "45 minutes"
+GAP_MINUTES = 45
 MAX_BYTES = 900
 MAX_MESSAGES = 16
 BODY_CHARS = 900
-BEGINNING = "0001-01-01 00:00:00"
 
 
-def _micros(interval: str) -> Column:
-    span = F.expr(f"INTERVAL '{interval.split()[0]}' {interval.split()[1].rstrip('s').upper()}")
-    return F.unix_micros(F.timestamp_seconds(F.lit(0)) + span)
+def _micros(minutes: int) -> Column:
+    return F.lit(minutes * 60_000_000)
 
 
 def lines(messages: DataFrame, handles: DataFrame) -> DataFrame:
@@ -45,190 +44,168 @@ def lines(messages: DataFrame, handles: DataFrame) -> DataFrame:
     )
 
 
-def gap_breaks(ordered: Ordered, gap: str = GAP) -> DataFrame:
-    """1 on each row that starts a gap session: first of its chat, or silent for longer than the gap."""
-    rows = ordered.neighbours(["ts"], prev="_prev", next=None)
+def gap_breaks(ordered: Ordered, gap_minutes: int = GAP_MINUTES, partitioned: bool = False) -> DataFrame:
+    """1 on each row that starts a gap session: first of its chat, or silent for longer than the gap.
+
+    ``partitioned`` fixes the partitioning by (chat, slice) up front; the window then needs no
+    shuffle of its own and its sorted output can be streamed.
+    """
+    rows = ordered.neighbours(["ts"], prev="_prev", next=None, partitioned=partitioned)
     silence = F.unix_micros("ts") - F.unix_micros("_prev.ts")
-    starts = F.col("_prev").isNull() | (silence > _micros(gap))
+    starts = F.col("_prev").isNull() | (silence > _micros(gap_minutes))
     return rows.withColumn("gap_break", starts.cast("int")).drop("_prev")
 
 
-def gap_sessions(messages: DataFrame, gap: str = GAP, target_rows: int | None = None) -> DataFrame:
+def gap_sessions(messages: DataFrame, gap_minutes: int = GAP_MINUTES, target_rows: int | None = None) -> DataFrame:
     """Messages with the number of their gap session in the chat."""
     ordered = Ordered(messages, ["chat_id"], ["ts", "message_id"], target_rows)
-    rows = gap_breaks(ordered, gap)
+    rows = gap_breaks(ordered, gap_minutes)
     return ordered.running_sum(rows, "gap_break", "session").drop("_slice", "gap_break")
 
 
-_FOLD_SCHEMA = "chat_id long, _slice int, message_id long, starts boolean"
-_SUMMARY_SCHEMA = "chat_id long, _slice int, head array<int>, broken boolean, exits array<struct<n:int,bytes:int>>, n int, bytes int"
+_SUMMARY = (
+    "chat_id long, part int, head array<int>, broken boolean, "
+    "exits array<struct<n:int,bytes:int,first_id:long>>, n int, bytes int"
+)
+_ENTRY = "chat_id long, _slice int, n_in int, bytes_in int, id_in long"
 
 
-def _cap_breaks(max_bytes: int, max_messages: int):
-    """Streaming greedy fold over rows sorted by (chat, slice, ts, id)."""
+def _fold(max_bytes: int, max_messages: int):
+    """Greedy caps over rows sorted by (chat, slice, ts, id): adds the id of each row's window start."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, n, used = None, 0, 0
-        for pdf in batches:
-            starts = []
-            for chat, part, gap, size, n_in, bytes_in in zip(
-                pdf.chat_id.tolist(), pdf._slice.tolist(), pdf.gap_break.tolist(),
-                pdf["size"].tolist(), pdf.n_in.tolist(), pdf.bytes_in.tolist(), strict=True,
-            ):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, used, first = None, 0, 0, None
+        for batch in batches:
+            columns = ("chat_id", "_slice", "message_id", "gap_break", "size", "n_in", "bytes_in", "id_in")
+            rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            firsts = []
+            for chat, part, message, gap, size, n_in, bytes_in, id_in in rows:
                 if (chat, part) != key:
-                    key, n, used = (chat, part), n_in, bytes_in
-                fresh = bool(gap) or n == 0 or n >= max_messages or used + size > max_bytes
-                if fresh:
-                    n, used = 0, 0
+                    key, n, used, first = (chat, part), n_in, bytes_in, id_in
+                if gap or n == 0 or n >= max_messages or used + size > max_bytes:
+                    n, used, first = 0, 0, message
                 n += 1
                 used += size + 1
-                starts.append(fresh)
-            yield pd.DataFrame(
-                {"chat_id": pdf.chat_id, "_slice": pdf._slice, "message_id": pdf.message_id, "starts": starts}
+                firsts.append(first)
+            out = [batch.column(c) for c in ("chat_id", "ts", "message_id", "line")]
+            yield pa.RecordBatch.from_arrays(
+                [*out, pa.array(firsts, pa.int64())], names=["chat_id", "ts", "message_id", "line", "first_id"]
             )
 
     return run
 
 
-def _slice_summaries(max_bytes: int, max_messages: int):
+def _summarise(max_bytes: int, max_messages: int):
     """What a slice does to the fold: one row per slice, whatever its length.
 
     ``head`` holds the line sizes up to the first gap (at most ``max_messages`` of them): with
     the state on entry they tell where the first window of the slice starts. ``exits[k]`` is
-    the state on leaving when that first start is row k. Chains that started apart merge as
-    soon as they start a window on the same row, so most slices soon follow a single chain.
+    the state on leaving when that first start is row k. Chains that start a window on the
+    same row merge, so a slice is followed by at most ``max_messages`` chains.
     """
 
-    def finish(key, head, broken, chains, exits, n, used):
-        out = [None] * max_messages
-        for k, state in exits.items():
-            out[k] = {"n": state[0], "bytes": state[1]}
+    def start(size, message):
+        return (1, size + 1, message)
+
+    def step(state, gap, size, message):
+        n, used, first = state
+        if gap or n >= max_messages or used + size > max_bytes:
+            return start(size, message)
+        return (n + 1, used + size + 1, first)
+
+    def row_of(key, head, broken, chains, n, used):
+        exits: list = [None] * max_messages
+        for state, members in chains.items():
+            for k in members:
+                exits[k] = dict(zip(("n", "bytes", "first_id"), state, strict=True))
         return {
-            "chat_id": key[0], "_slice": key[1], "head": head, "broken": broken, "exits": out, "n": n, "bytes": used,
+            "chat_id": key[0], "part": key[1], "head": head, "broken": broken, "exits": exits, "n": n, "bytes": used,
         }
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, head, broken, chains, n, used = None, [], False, {}, 0, 0
-        done = []
-
-        def close():
-            exits = {k: state for ks, state in chains.values() for k in ks}
-            done.append(finish(key, head, broken, chains, exits, n, used))
-
         for pdf in batches:
-            for chat, part, gap, size in zip(
-                pdf.chat_id.tolist(), pdf._slice.tolist(), pdf.gap_break.tolist(), pdf["size"].tolist(), strict=True
-            ):
+            done = []
+            columns = ("chat_id", "_slice", "message_id", "gap_break", "size")
+            for chat, part, message, gap, size in zip(*(pdf[c].tolist() for c in columns), strict=True):
                 if (chat, part) != key:
                     if key is not None:
-                        close()
+                        done.append(row_of(key, head, broken, chains, n, used))
                     key, head, broken, chains, n, used = (chat, part), [], False, {}, 0, 0
-                row = n
-                n += 1
-                used += size + 1
-                if not broken and gap:
-                    broken = True
+                broken = broken or bool(gap)
                 if not broken and len(head) < max_messages:
                     head.append(size)
-                merged: dict = {}
-                for ks, (m, b) in chains.values():
-                    if gap or m >= max_messages or b + size > max_bytes:
-                        state = (1, size + 1)
-                    else:
-                        state = (m + 1, b + size + 1)
-                    merged.setdefault(state, ([], state))[0].extend(ks)
-                if row < max_messages:
-                    state = (1, size + 1)
-                    merged.setdefault(state, ([], state))[0].append(row)
-                chains = merged
+                moved: dict = {}
+                for state, members in chains.items():
+                    moved.setdefault(step(state, gap, size, message), []).extend(members)
+                if n < max_messages:
+                    moved.setdefault(start(size, message), []).append(n)
+                chains = moved
+                n, used = n + 1, used + size + 1
             if done:
                 yield pd.DataFrame(done)
-                done = []
         if key is not None:
-            close()
-            yield pd.DataFrame(done)
+            yield pd.DataFrame([row_of(key, head, broken, chains, n, used)])
 
     return run
 
 
-def _entry_states(max_bytes: int, max_messages: int):
-    """Chain the slice summaries of one chat, in order, into the state on entry of each slice."""
+def _enter(max_bytes: int, max_messages: int):
+    """Chain the summaries of one chat's slices, in order, into the state on entry of each slice."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, used, out = 0, 0, []
-        for row in pdf.sort_values("_slice").itertuples():
-            out.append((row.chat_id, row._2 if hasattr(row, "_2") else row[2], n, used))
-            m, b, start = n, used, None
-            for k, size in enumerate(row.head):
+        n, used, first, out = 0, 0, None, []
+        for s in pdf.sort_values("part").to_dict("records"):
+            out.append((s["chat_id"], s["part"], n, used, first))
+            m, b, at = n, used, None
+            for k, size in enumerate(s["head"]):
                 if m == 0 or m >= max_messages or b + size > max_bytes:
-                    start = k
+                    at = k
                     break
                 m, b = m + 1, b + size + 1
-            if start is None and (row.broken or len(row.head) >= max_messages):
-                start = len(row.head)
-            if start is None:
-                n, used = n + row.n, used + row.bytes
+            if at is None and s["broken"]:
+                at = len(s["head"])
+            if at is None:  # too short to close the open window
+                n, used = n + s["n"], used + s["bytes"]
             else:
-                state = row.exits[start]
-                n, used = state["n"], state["bytes"]
-        return pd.DataFrame(out, columns=["chat_id", "_slice", "n_in", "bytes_in"])
+                state = s["exits"][at]
+                n, used, first = state["n"], state["bytes"], state["first_id"]
+        frame = pd.DataFrame(out, columns=["chat_id", "_slice", "n_in", "bytes_in", "id_in"])
+        return frame.astype({"id_in": "Int64"})
 
     return run
 
 
-def window_starts(
+def assign(
     rows: DataFrame,
-    gap: str = GAP,
+    gap_minutes: int = GAP_MINUTES,
     max_bytes: int = MAX_BYTES,
     max_messages: int = MAX_MESSAGES,
     target_rows: int | None = None,
-) -> tuple[Ordered, DataFrame]:
-    """Lines with ``starts``: whether a window begins there, under the gap and both caps."""
+) -> DataFrame:
+    """Lines with ``first_id``, the first message of their window, under the gap and both caps."""
+    by = ["chat_id", "_slice"]
+    order = [*by, "ts", "message_id"]
     ordered = Ordered(rows, ["chat_id"], ["ts", "message_id"], target_rows)
-    marked = gap_breaks(ordered, gap)
-    sized = marked.select(
-        "chat_id", "_slice", "ts", "message_id", "gap_break", F.octet_length("line").alias("size")
+    sized = gap_breaks(ordered, gap_minutes, partitioned=True).withColumn("size", F.octet_length("line"))
+    fold = _fold(max_bytes, max_messages)
+    schema = "chat_id long, ts timestamp, message_id long, line string, first_id long"
+    if not ordered.n_hot:
+        ready = sized.withColumns(
+            {"n_in": F.lit(0), "bytes_in": F.lit(0), "id_in": F.lit(None).cast("long")}
+        ).sortWithinPartitions(*order)
+        return ready.mapInArrow(fold, schema)
+    hot = sized.filter("_slice >= 0").sortWithinPartitions(*order)
+    entry = (
+        hot.select(*by, "message_id", "gap_break", "size")
+        .mapInPandas(_summarise(max_bytes, max_messages), _SUMMARY)
+        .groupBy("chat_id")
+        .applyInPandas(_enter(max_bytes, max_messages), _ENTRY)
     )
-    sorted_rows = sized.repartition("chat_id", "_slice").sortWithinPartitions("chat_id", "_slice", "ts", "message_id")
-    if ordered.n_hot:
-        hot = sized.filter("_slice >= 0").repartition("chat_id", "_slice")
-        hot = hot.sortWithinPartitions("chat_id", "_slice", "ts", "message_id").drop("ts", "message_id")
-        entry = (
-            hot.mapInPandas(_slice_summaries(max_bytes, max_messages), _SUMMARY_SCHEMA)
-            .groupBy("chat_id")
-            .applyInPandas(
-                _entry_states(max_bytes, max_messages), "chat_id long, _slice int, n_in int, bytes_in int"
-            )
-        )
-        entry = bounded_broadcast(entry, ordered.n_borders)
-        sorted_rows = sized.join(entry, ["chat_id", "_slice"], "left")
-        sorted_rows = sorted_rows.withColumns(
-            {"n_in": F.coalesce("n_in", F.lit(0)), "bytes_in": F.coalesce("bytes_in", F.lit(0))}
-        )
-        sorted_rows = sorted_rows.repartition("chat_id", "_slice").sortWithinPartitions(
-            "chat_id", "_slice", "ts", "message_id"
-        )
-    else:
-        sorted_rows = sorted_rows.withColumns({"n_in": F.lit(0), "bytes_in": F.lit(0)})
-    folded = sorted_rows.select("chat_id", "_slice", "message_id", "gap_break", "size", "n_in", "bytes_in").mapInPandas(
-        _cap_breaks(max_bytes, max_messages), _FOLD_SCHEMA
+    ready = sized.join(bounded_broadcast(entry, ordered.n_borders), by, "left").withColumns(
+        {"n_in": F.coalesce("n_in", F.lit(0)), "bytes_in": F.coalesce("bytes_in", F.lit(0))}
     )
-    starts = ordered.df.join(folded, ["chat_id", "_slice", "message_id"])
-    return ordered, starts
-
-
-def assign(
-    messages: DataFrame,
-    handles: DataFrame,
-    gap: str = GAP,
-    max_bytes: int = MAX_BYTES,
-    max_messages: int = MAX_MESSAGES,
-    target_rows: int | None = None,
-) -> DataFrame:
-    """Lines with ``window_no``, the number of their window in the chat."""
-    ordered, rows = window_starts(lines(messages, handles), gap, max_bytes, max_messages, target_rows)
-    numbered = ordered.running_sum(rows.withColumn("_one", F.col("starts").cast("int")), "_one", "window_no")
-    return numbered.select("chat_id", "window_no", "ts", "message_id", "line")
+    return ready.repartition(*by).sortWithinPartitions(*order).mapInArrow(fold, schema)
 
 
 def build(assigned: DataFrame, chats: DataFrame, tz: str = "UTC") -> DataFrame:
@@ -238,7 +215,7 @@ def build(assigned: DataFrame, chats: DataFrame, tz: str = "UTC") -> DataFrame:
     bounded number of messages, so the ordered list of its lines is small by construction.
     """
     ordered_lines = F.array_sort(F.collect_list(F.struct("ts", "message_id", "line")))
-    spans = assigned.groupBy("chat_id", "window_no").agg(ordered_lines.alias("_l"))
+    spans = assigned.groupBy("chat_id", "first_id").agg(ordered_lines.alias("_l"))
     first, last = F.get("_l", F.lit(0)), F.element_at("_l", -1)
     titled = spans.join(chats.select("chat_id", "title"), "chat_id", "left")
     header = F.concat(
@@ -247,20 +224,24 @@ def build(assigned: DataFrame, chats: DataFrame, tz: str = "UTC") -> DataFrame:
     text = F.concat_ws("\n", header, F.array_join(F.col("_l.line"), "\n"))
     return titled.select(
         "chat_id",
-        "window_no",
         first["ts"].alias("start_ts"),
         last["ts"].alias("end_ts"),
-        first["message_id"].alias("first_id"),
+        "first_id",
         last["message_id"].alias("last_id"),
         F.size("_l").cast("long").alias("n_messages"),
         text.alias("text"),
     ).withColumn("text_hash", F.xxhash64("text"))
 
 
-def dirty_cut(dirty: DataFrame, windows: DataFrame, gap: str = GAP) -> DataFrame:
+def message_windows(assigned: DataFrame) -> DataFrame:
+    """Window (by its first message) of every line, for joins from messages to windows."""
+    return assigned.select("message_id", "chat_id", "first_id")
+
+
+def dirty_cut(dirty: DataFrame, windows: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """From when each dirty chat is rebuilt: the earliest start of its windows ending within a gap of the change."""
     near = windows.join(dirty, "chat_id").filter(
-        F.unix_micros("end_ts") >= F.unix_micros("from_ts") - _micros(gap)
+        F.unix_micros("end_ts") >= F.unix_micros("from_ts") - _micros(gap_minutes)
     )
     earliest = near.groupBy("chat_id").agg(F.min("start_ts").alias("_start"))
     return dirty.join(earliest, "chat_id", "left").select(
@@ -273,22 +254,25 @@ def to_rebuild(lines_: DataFrame, cut: DataFrame) -> DataFrame:
     return lines_.join(cut, "chat_id").filter("ts >= cut_ts").drop("cut_ts")
 
 
-def diff(old: DataFrame, new: DataFrame, cut: DataFrame, gap: str = GAP) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, cut: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """What a rebuild does to the stored windows of the dirty chats: keep, insert or delete.
 
     A rebuilt window with the same start and text keeps its id (and so its vector). Chats
     without a change, and windows that end before the cut, do not appear.
     """
     affected = old.join(cut, "chat_id").filter(
-        F.unix_micros("end_ts") >= F.unix_micros("cut_ts") - _micros(gap)
+        F.unix_micros("end_ts") >= F.unix_micros("cut_ts") - _micros(gap_minutes)
+    )
+    affected = affected.filter("start_ts >= cut_ts").select(
+        "chat_id", "start_ts", "text_hash", "window_id", F.col("first_id").alias("_first")
     )
-    affected = affected.filter("start_ts >= cut_ts").select("chat_id", "start_ts", "text_hash", "window_id")
     keys = ["chat_id", "start_ts", "text_hash"]
     action = (
         F.when(F.col("window_id").isNull(), "insert").when(F.col("_new").isNull(), "delete").otherwise("keep")
     )
     fresh = new.withColumn("_new", F.lit(True))
-    return affected.join(fresh, keys, "full_outer").withColumn("action", action).drop("_new")
+    joined = affected.join(fresh, keys, "full_outer").withColumn("action", action)
+    return joined.withColumn("first_id", F.coalesce("first_id", "_first")).drop("_new", "_first")
 
 
 def window_id(chat_id: Column, start_ts: Column, text_hash: Column) -> Column:

@@ -117,11 +117,11 @@ class Ordered:
         )
         return out.withColumn(name, F.coalesce(F.col(name), F.col("_carried"))).drop("_carried")
 
-    def neighbours(self, columns: list[str], prev: str | None = "prev", next: str | None = "next") -> DataFrame:
+    def neighbours(self, columns: list[str], prev: str | None = "prev", next: str | None = "next", partitioned: bool = False) -> DataFrame:
         """Add the previous and next row of the group as structs of ``columns`` (NULL at the ends)."""
         row = F.struct(*columns)
         key = F.struct(*self.order)
-        out = self.df
+        out = self.df.repartition(*self.keys) if partitioned else self.df
         if prev:
             out = out.withColumn(prev, F.lag(row).over(self.window))
         if next:

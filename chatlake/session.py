@@ -25,6 +25,7 @@ def local_session(cores: str | int = "*", app: str = "chatlake", memory: str = "
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", parallel)
     )
     for key, value in {**DEFAULTS, **conf}.items():

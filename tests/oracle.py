@@ -47,7 +47,7 @@ def compare(spark_df, con, sql: str) -> str | None:
         return None if kinds(got) == kinds(want) else f"types {kinds(got)} vs {kinds(want)}"
     missing = [r for r in want if r not in set(got)][:3]
     extra = [r for r in got if r not in set(want)][:3]
-    return f"rows {len(got)} vs {len(want)} columns {got_cols}\n   only sql: {missing}\n   only spark: {extra}"
+    return (f"rows {len(got)} vs {len(want)} columns {got_cols}\n   only sql: {missing}\n   only spark: {extra}")[:900]
 
 
 def main() -> None:
@@ -76,7 +76,7 @@ def main() -> None:
                 n = df.count()
                 problem = None
         except Exception as e:  # report and go on
-            problem = f"{type(e).__name__}: {str(e)[:1500]}"
+            problem = f"{type(e).__name__}: {str(e)[:500]}"
             n = "-"
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {name:32s} {time.time() - t:6.2f}s rows={n} {'' if name in sqls else '(no sql)'}")
