@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chatlake.catalog import views as v
 from chatlake.catalog.registry import query
-from chatlake.functions import address, kinds, text
+from chatlake.functions import address, kinds, text, times
 from chatlake.operators import chats, ingest, storage
 from chatlake.sources import raw
 
@@ -32,11 +32,11 @@ def chat_scan(d):
 )
 def message_scan_since(d):
     """Events as source rows (nanoseconds since 2001), read from 15 January with a day of slack."""
-    nanos = (F.unix_micros(d.event_messages().ts) - 978307200000000) * 1000
+    nanos = (F.unix_micros("ts") - times.SOURCE_EPOCH_MICROS) * 1000
     rows = d.event_messages().select(F.col("message_id").alias("rowid"), nanos.alias("date"))
     kept = raw.since(rows, F.lit("2024-01-15 10:00:00").cast("timestamp"))
     return kept.select(
-        F.col("rowid").alias("message_id"), F.unix_millis(raw.times.from_source_nanos("date")).alias("ts_ms")
+        F.col("rowid").alias("message_id"), F.unix_millis(times.from_source_nanos("date")).alias("ts_ms")
     )
 
 
@@ -131,21 +131,22 @@ def renamed_chats(d):
 @query(
     "handle_upsert",
     v.with_(v.HANDLES)
-    + """, held AS (SELECT * FROM handles WHERE handle_id % 3 <> 0),
-    fresh AS (SELECT handle_id, '+44' || CAST(handle_id AS VARCHAR) AS address, CASE WHEN handle_id % 5 = 0 THEN 'New ' || CAST(handle_id AS VARCHAR) END AS name
-      FROM handles WHERE handle_id % 2 = 0)
+    + """, held AS (SELECT h.* FROM handles h JOIN customer ON c_custkey = handle_id WHERE c_mktsegment <> 'BUILDING'),
+    fresh AS (SELECT handle_id, '+44' || CAST(handle_id AS VARCHAR) AS address, CASE WHEN c_acctbal > 0 THEN 'New ' || CAST(handle_id AS VARCHAR) END AS name
+      FROM handles h JOIN customer ON c_custkey = handle_id WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
     SELECT coalesce(f.handle_id, h.handle_id) AS handle_id, coalesce(f.address, h.address) AS address, coalesce(f.name, h.name) AS name
     FROM held h FULL JOIN fresh f ON f.handle_id = h.handle_id""",
 )
 def handle_upsert(d):
-    """Stored: two customers in three; new read: every other one, moved to another country."""
-    h = d.handles()
+    """Stored: all but the builders; read anew: builders and machinists, moved abroad, some without a name."""
+    c = d.table("customer").withColumnRenamed("c_custkey", "handle_id")
+    h = d.handles().join(c, "handle_id")
     key = F.col("handle_id").cast("string")
-    fresh = h.filter("handle_id % 2 = 0").select(
+    fresh = h.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(
         "handle_id", F.concat(F.lit("+44"), key).alias("address"),
-        F.when(F.col("handle_id") % 5 == 0, F.concat(F.lit("New "), key)).alias("name"),
+        F.when(F.col("c_acctbal") > 0, F.concat(F.lit("New "), key)).alias("name"),
     )
-    return ingest.upsert_handles(h.filter("handle_id % 3 <> 0"), fresh).select("handle_id", "address", "name")
+    return ingest.upsert_handles(h.filter("c_mktsegment <> 'BUILDING'"), fresh).select("handle_id", "address", "name")
 
 
 @query(

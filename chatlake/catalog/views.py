@@ -22,7 +22,7 @@ ATTACHMENTS = """attachments AS (
 
 MANIFEST = """manifest AS (
   SELECT DISTINCT '/files/' || CAST(l_suppkey AS VARCHAR) || '/' || CAST(l_partkey AS VARCHAR) AS path
-  FROM lineitem WHERE l_suppkey % 2 = 0)"""
+  FROM lineitem WHERE l_discount >= 0.05)"""
 
 DIRECT_CHATS = """chats AS (
   SELECT handle_id AS chat_id, address AS identifier, NULL AS display_name, coalesce(name, address) AS title,

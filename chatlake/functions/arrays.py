@@ -20,7 +20,7 @@ def run_lengths(
     Sorts the array once and measures the runs, so it is linear after the sort. ``members``
     turns each member of a run into an element of an extra ``members`` array.
     """
-    out = df.withColumn("_sorted", F.array_sort(values))
+    out = df.withColumn("_sorted", F.sort_array(values))
     at = F.col("_sorted")
     size = F.size(at)
     places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatlake.plans.ordered import Ordered
 
 SEARCHED = 20
+MODES = ["keyword", "hybrid"]
 
 
 def first_relevant_rank(hits: DataFrame, relevance: DataFrame, searched: int = SEARCHED) -> DataFrame:
@@ -24,7 +25,7 @@ def first_relevant_rank(hits: DataFrame, relevance: DataFrame, searched: int = S
     )
     asked = relevance.select("query_id").distinct()
     if len(by) == 2:
-        modes = F.array_distinct(F.flatten(F.array(F.array(F.lit("keyword"), F.lit("hybrid")))))
+        modes = F.array(*[F.lit(m) for m in MODES])
         asked = asked.select(F.explode(modes).alias("mode"), "query_id")
     return asked.join(found, by, "left")
 
@@ -36,13 +37,13 @@ def topk_totals(ranks: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     return ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), *counts)
 
 
-def latency_percentiles(timings: DataFrame, group: str, value: str, target_rows: int | None = None) -> DataFrame:
-    """p50, p95 and maximum per group: the sorted value at floor((n - 1) * p)."""
-    rows = timings.withColumn("_id", F.monotonically_increasing_id()) if "run" not in timings.columns else timings.withColumnRenamed("run", "_id")
-    ordered = Ordered(rows.select(group, value, "_id"), [group], [value, "_id"], target_rows)
-    numbered = ordered.row_number()
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    at = numbered.join(sizes, group)
+def latency_percentiles(
+    timings: DataFrame, group: str, value: str, run: str, target_rows: int | None = None
+) -> DataFrame:
+    """p50, p95 and maximum per group: the sorted value at floor((n - 1) * p). ``run`` identifies a row."""
+    ordered = Ordered(timings.select(group, value, run), [group], [value, run], target_rows)
+    sizes = timings.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    at = ordered.row_number().join(sizes, group)
 
     def pick(p: float):
         return F.max(F.when(F.col("rn") == F.floor((F.col("n") - 1) * F.lit(p)) + 1, F.col(value)))

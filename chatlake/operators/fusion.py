@@ -29,7 +29,7 @@ def fuse(lists: dict[str, DataFrame], limit: int) -> DataFrame:
     ]
     rows = reduce(DataFrame.unionByName, named)
     fused = rows.groupBy("query_id", "message_id").agg(
-        F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 15).alias("score"),
+        F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"),
         F.bool_or("_m").alias("meaning"),
         F.bool_or(~F.col("_m")).alias("keyword"),
     )

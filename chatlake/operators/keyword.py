@@ -39,13 +39,18 @@ class Index:
 
 
 def build_postings(messages: DataFrame) -> DataFrame:
-    """One row per term and message, without a shuffle."""
-    rows = messages.select("message_id", text.tokens(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
+    """One row per term and message, without a shuffle.
+
+    ``explode_outer`` rather than ``explode``: the latter implies a filter on the array's size,
+    which would be pushed below and work out the whole array a second time.
+    """
+    rows = messages.select("message_id", text.tokens(F.col("text")).alias("_t"))
     placed = F.transform("_t", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     runs = run_lengths(
         rows.withColumn("length", F.size("_t")), placed, "_runs", key=lambda x: x["t"], members=lambda x: x["i"]
     )
-    return runs.select("message_id", "length", F.explode("_runs").alias("r")).select(
+    terms = runs.select("message_id", "length", F.explode_outer("_runs").alias("r")).filter("r IS NOT NULL")
+    return terms.select(
         F.col("r.value").alias("term"), "message_id", F.col("r.n").alias("tf"), "length", F.col("r.members").alias("positions")
     )
 
@@ -186,14 +191,14 @@ def ranked_list(
 ) -> DataFrame:
     """(query_id, message_id, score, rank): filtered, newest ``scan_cap`` kept, blended, best ``pool`` ranked.
 
-    Scores are rounded to 12 digits so that rank ties do not depend on the order of additions.
+    Scores are rounded to 9 digits so that rank ties do not depend on the order of additions.
     """
     rows = scores.join(messages.filter(F.col("kind") == kinds.TEXT), "message_id")
     kept = filters.keep(rows, resolved).select("query_id", "message_id", "ts", "score")
     if scan_cap is not None:
         kept = top_per_group(kept, ["query_id"], [F.desc("message_id")], scan_cap, "_scan").drop("_scan")
     newest = messages.agg(F.max("ts").alias("t")).scalar()
-    blended = kept.withColumn("score", F.round(blend_recency(F.col("score"), F.col("ts"), newest), 12))
+    blended = kept.withColumn("score", F.round(blend_recency(F.col("score"), F.col("ts"), newest), 9))
     return top_per_group(blended, ["query_id"], [F.desc("score"), F.desc("message_id")], pool).select(
         "query_id", "message_id", "score", "rank"
     )

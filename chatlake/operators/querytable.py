@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,46 +39,83 @@ def _strip(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
 
 
-def _classify(piece: Column, tz: str) -> Column:
-    """One piece as a struct: role, value, and the instants of a date operand."""
-    phrase = piece.startswith('"')
-    key = F.lower(F.regexp_extract(piece, KEYED, 1))
-    raw = _unquote(F.regexp_extract(piece, KEYED, 2))
-    value = _strip(raw)
-    start, end = times.date_operand(value, tz)
-    dated = start.isNotNull() & end.isNotNull()
-    filled = ~phrase & (value != "")
-    role = (
-        F.when(phrase, "phrase")
-        .when(filled & (key == "from"), "from")
-        .when(filled & key.isin(CHAT_KEYS), "chat")
-        .when(filled & (key == "has") & _has_word(value).isNotNull(), "has")
-        .when(filled & (key == "before") & dated, "before")
-        .when(filled & (key == "after") & dated, "after")
-        .when(filled & key.isin(RANGE_KEYS) & dated, "during")
-        .when(piece.startswith("-"), "excluded")
-        .otherwise("word")
+def _with(*names: str, **more: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Lambda that keeps the named fields of a struct and adds ``more``, each a function of the struct."""
+    return lambda x: F.struct(*[x[n].alias(n) for n in names], *[f(x).alias(n) for n, f in more.items()])
+
+
+DATE_KEYS = ["before", "after", *RANGE_KEYS]
+
+
+def _classify(pieces: Column, tz: str) -> Column:
+    """Pieces as structs: role, what is said, and the instants of a date operand.
+
+    In steps, so that each part of a piece is worked out once; dates only where a date key asks for one.
+    """
+    steps = F.transform(
+        pieces,
+        lambda p: F.struct(
+            p.alias("piece"),
+            F.regexp_extract(p, KEYED, 1).alias("head"),
+            _unquote(F.regexp_extract(p, KEYED, 2)).alias("raw"),
+        ),
+    )
+    steps = F.transform(
+        steps,
+        _with("piece", "head", "raw", key=lambda x: F.lower(x["head"]), value=lambda x: F.when(x["head"] != "", _strip(x["raw"]))),
+    )
+
+    def date(x: Column, side: int) -> Column:
+        return F.when(x["key"].isin(DATE_KEYS), times.date_operand(x["value"], tz)[side])
+
+    steps = F.transform(
+        steps, _with("piece", "head", "raw", "key", "value", start=lambda x: date(x, 0), end=lambda x: date(x, 1))
     )
-    bare = F.when(piece.rlike(KEYED), F.concat(F.regexp_extract(piece, KEYED, 1), F.lit(":"), raw)).otherwise(piece)
-    said = (
-        F.when(role == "phrase", _unquote(piece))
-        .when(role == "has", _has_word(value))
-        .when(role.isin("from", "chat"), value)
-        .when(role == "excluded", F.substring(piece, 2, 1_000_000))
-        .otherwise(bare)
+
+    def role(x: Column) -> Column:
+        filled = x["value"] != ""
+        dated = x["start"].isNotNull() & x["end"].isNotNull()
+        return (
+            F.when(x["piece"].startswith('"'), "phrase")
+            .when(x["piece"].startswith("-"), "excluded")
+            .when(filled & (x["key"] == "from"), "from")
+            .when(filled & x["key"].isin(CHAT_KEYS), "chat")
+            .when((x["key"] == "has") & _has_word(x["value"]).isNotNull(), "has")
+            .when(dated & x["key"].isin(RANGE_KEYS), "during")
+            .when(dated, x["key"])
+            .otherwise("word")
+        )
+
+    steps = F.transform(steps, _with("piece", "head", "raw", "value", "start", "end", role=role))
+
+    def said(x: Column) -> Column:
+        return (
+            F.when(x["role"] == "phrase", _unquote(x["piece"]))
+            .when(x["role"] == "excluded", F.substring(x["piece"], 2, 1_000_000))
+            .when(x["role"] == "has", _has_word(x["value"]))
+            .when(x["role"].isin("from", "chat"), x["value"])
+            .when(x["head"] != "", F.concat(x["head"], F.lit(":"), x["raw"]))
+            .otherwise(x["piece"])
+        )
+
+    return F.transform(
+        steps,
+        _with(
+            "role",
+            said=said,
+            after_ts=lambda x: F.when(x["role"] == "after", x["end"]).when(x["role"] == "during", x["start"]),
+            before_ts=lambda x: F.when(x["role"] == "before", x["start"]).when(x["role"] == "during", x["end"]),
+        ),
     )
-    after = F.when(role == "after", end).when(role == "during", start)
-    before = F.when(role == "before", start).when(role == "during", end)
-    return F.struct(role.alias("role"), said.alias("said"), after.alias("after_ts"), before.alias("before_ts"))
 
 
 def parse(queries: DataFrame, tz: str = "UTC") -> DataFrame:
     """``queries(query_id, text)`` with words, phrases, exclusions, filters and date bounds."""
     pieces = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
-    rows = queries.withColumn("_p", F.transform(pieces, lambda p: _classify(p, tz)))
+    rows = queries.withColumn("_p", _classify(pieces, tz))
 
     def said(role: str) -> Column:
-        kept = F.filter("_p", lambda p: (p["role"] == role) & (_strip(p["said"]) != ""))
+        kept = F.filter("_p", lambda p: (p["role"] == role) & p["said"].rlike(r"(?U)\S"))
         return F.transform(kept, lambda p: p["said"])
 
     def last(bound: str) -> Column:

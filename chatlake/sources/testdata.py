@@ -73,8 +73,8 @@ class TestData:
         )
 
     def file_manifest(self) -> DataFrame:
-        """Files that are present: one per part sold by an even supplier."""
-        l = self.table("lineitem").filter("l_suppkey % 2 = 0")
+        """Files that are present: those of lines sold at a discount of five per cent or more."""
+        l = self.table("lineitem").filter("l_discount >= 0.05")
         return l.select(
             F.concat(F.lit("/files/"), l.l_suppkey.cast("string"), F.lit("/"), l.l_partkey.cast("string")).alias("path")
         ).distinct()
