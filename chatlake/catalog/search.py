@@ -9,6 +9,7 @@ from chatlake.catalog.registry import query
 from chatlake.functions import text
 from chatlake.operators import filters, fusion, keyword, querytable
 from chatlake.plans import search as plan
+from chatlake.session import durable
 
 
 def quoted(words) -> str:
@@ -168,7 +169,7 @@ def corpus(d) -> plan.Corpus:
 
 def keyword_lists(d):
     c = corpus(d)
-    parsed = querytable.parse(searches(d))
+    parsed = durable(querytable.parse(searches(d)))
     resolved = filters.resolve(parsed, c.handles, c.chats, c.members)
     return keyword.keyword_search(parsed, c.index, c.messages, resolved)
 
@@ -209,7 +210,7 @@ def keyword_stats(d):
 )
 def keyword_bm25(d):
     """Prefix, exact, phrase, AND and NOT with plain BM25 over all documents."""
-    parsed = querytable.parse(searches(d))
+    parsed = durable(querytable.parse(searches(d)))
     scores = keyword.strict_scores(keyword.match(parsed, keyword.build_index(documents(d))))
     return scores.select("query_id", "message_id", F.round("score", 6).alias("score"))
 
@@ -233,10 +234,9 @@ FILTER_ONLY = """listed AS (
 
 @query("search_filter_only", SEARCH.rstrip() + ",\n" + FILTER_ONLY + "\nSELECT query_id, message_id, rank FROM listed")
 def search_filter_only(d):
-    c = corpus(d)
-    parsed = querytable.parse(searches(d))
-    resolved = filters.resolve(parsed, c.handles, c.chats, c.members)
-    return filters.filter_only(parsed, resolved, c.messages, 50).select("query_id", "message_id", "rank")
+    parsed = durable(querytable.parse(searches(d)))
+    resolved = filters.resolve(parsed, d.document_handles(), d.document_chats(), d.document_members())
+    return filters.filter_only(parsed, resolved, documents(d), 50).select("query_id", "message_id", "rank")
 
 
 @query(
@@ -299,8 +299,7 @@ def filter_chats(d):
 
     values = _people_asked(d).select(F.col("person").alias("value")).distinct()
     titled = chats.titles(d.group_chats(), d.group_members(), d.handles())
-    people = filters.match_people(values, d.handles())
-    return filters.match_chats(values, titled, d.group_members(), people)
+    return filters.match_chats(values, d.handles(), titled, d.group_members())
 
 
 # Searches over the orders as SQL conditions on messages m (alias of one row) and their attachments.
@@ -340,7 +339,7 @@ def filter_orders(d):
     from chatlake.operators import chats
 
     rows = [(i, s) for i, (s, _) in enumerate(ORDER_SEARCHES)]
-    parsed = querytable.parse(d.spark.createDataFrame(rows, "query_id long, text string"))
+    parsed = durable(querytable.parse(d.spark.createDataFrame(rows, "query_id long, text string")))
     titled = chats.titles(d.direct_chats(), d.direct_members(), d.handles())
     resolved = filters.resolve(parsed, d.handles(), titled, d.direct_members())
     messages = filters.with_flags(d.order_messages(), d.attachments())

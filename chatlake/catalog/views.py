@@ -72,7 +72,7 @@ TURN_MESSAGES = """messages AS (
 
 DOCUMENT_MESSAGES = """messages AS (
   SELECT doc_id AS message_id, CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS chat_id,
-         CAST(ascii(lang) AS BIGINT) AS handle_id, (lang = 'en') AS from_me,
+         CAST(ascii(lang) * 256 + ascii(substring(lang, 2, 1)) AS BIGINT) AS handle_id, (lang = 'en') AS from_me,
          make_timestamp((1704067200 + doc_id * 60) * 1000000) AS ts, text, 0 AS kind, lang,
          CASE WHEN lang = 'en' THEN 'Me' ELSE 'Author ' || lang END AS who, source AS title,
          coalesce(contains(text, 'http://') OR contains(text, 'https://') OR contains(text, 'www.'), FALSE) AS has_link

@@ -1,4 +1,4 @@
-"""Embedding jobs: a pluggable model over pending windows, and a native bag-of-words model."""
+"""Embedding jobs: a pluggable model over pending windows, and a built-in bag-of-words model."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.functions import text, vectors
-from chatlake.functions.arrays import run_lengths
 from chatlake.operators import windows
 
 BATCH = 64
@@ -59,22 +59,25 @@ def _bucket(word: Column) -> Column:
     return rule.otherwise(hashed.cast("int") + len(SYNONYMS))
 
 
+@F.pandas_udf("array<double>")
+def _unit_counts(buckets: pd.Series) -> pd.Series:
+    """Bucket numbers of each text to a vector of counts at length one."""
+
+    def one(row) -> np.ndarray:
+        counts = np.bincount(row, minlength=DIMS).astype(np.float64)
+        return counts / max(np.sqrt(np.square(counts).sum()), 1e-6)
+
+    return buckets.map(lambda row: one(np.asarray(row, dtype=np.int64)))
+
+
 def bag_of_words(rows: DataFrame, source: str, target: str = "v") -> DataFrame:
-    """Add unit vectors of hashed word counts; synonyms share a bucket. Native and shuffle-free."""
+    """Add unit vectors of hashed word counts; synonyms share a bucket.
+
+    Words and buckets are native; only the counting into a dense vector is done on Arrow batches.
+    """
     words = F.regexp_extract_all(F.lower(source), F.lit(text.TOKEN), F.lit(0))
     long = F.filter(words, lambda w: F.octet_length(w) >= MIN_WORD_BYTES)
-    counted = run_lengths(rows.withColumn("_b", F.transform(long, _bucket)), F.col("_b"), "_runs")
-    counts = F.map_from_entries(F.transform("_runs", lambda r: F.struct(r["value"], r["n"])))
-    counted = counted.withColumn("_counts", counts)
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(DIMS - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("_counts"), i), F.lit(0)).cast("double"),
-    )
-    filled = counted.withColumn("_dense", dense)
-    filled = filled.withColumn("_norm", F.greatest(vectors.norm(F.col("_dense")), F.lit(1e-6)))
-    return filled.withColumn(target, F.transform("_dense", lambda x: x / F.col("_norm"))).drop(
-        "_b", "_runs", "_counts", "_dense", "_norm"
-    )
+    return rows.withColumn(target, _unit_counts(F.transform(long, _bucket)))
 
 
 def _embed_batches(model: Embedder, prefix: str, batch: int):

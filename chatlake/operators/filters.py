@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import address, kinds
 from chatlake.plans.ordered import top_per_group
+from chatlake.session import durable
 
 MIN_DIGITS = 4
 GRAM = 3
@@ -22,51 +23,78 @@ def _grams(value: Column, size: int) -> Column:
     return F.array_distinct(F.transform(spots, lambda i: F.substring(value, i, F.lit(size))))
 
 
-def contains_join(values: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (value, key) where ``rows.field`` contains ``values.value``.
+def contains_join(values: DataFrame, rows: DataFrame) -> DataFrame:
+    """Triples (space, value, key) where a ``field`` of ``rows`` contains a ``value`` of the same space.
 
     Instead of testing every pair, a value is looked up by its rarest piece of three letters
     (shorter values by themselves) with an equality join, and only those rows are tested.
     """
     long = F.length("value") >= GRAM
-    pieces = values.select("value", F.explode(F.when(long, _grams(F.col("value"), GRAM)).otherwise(F.array("value"))).alias("gram"))
-    short_sizes = [_grams(F.col("field"), s) for s in range(1, GRAM + 1)]
-    indexed = rows.select(key, "field", F.explode(F.concat(*short_sizes)).alias("gram"))
-    needed = indexed.join(pieces.select("gram").distinct(), "gram", "left_semi")
-    frequency = needed.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(long, _grams(F.col("value"), GRAM)).otherwise(F.array("value"))
+    pieces = values.distinct().select("space", "value", F.explode(own).alias("gram"))
+    grams = F.concat(*[_grams(F.col("field"), size) for size in range(1, GRAM + 1)])
+    indexed = rows.filter("field IS NOT NULL").select("space", "key", "field", F.explode(grams).alias("gram"))
+    frequency = indexed.groupBy("space", "gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
-        pieces.join(frequency, "gram", "left")
-        .groupBy("value")
+        pieces.join(frequency, ["space", "gram"], "left")
+        .groupBy("space", "value")
         .agg(F.min_by("gram", F.coalesce("_n", F.lit(0))).alias("gram"))
     )
-    return rarest.join(indexed, "gram").filter(F.col("field").contains(F.col("value"))).select("value", key).distinct()
+    found = rarest.join(indexed, ["space", "gram"]).filter(F.col("field").contains(F.col("value")))
+    return found.select("space", "value", "key").distinct()
+
+
+def _needles(values: DataFrame) -> DataFrame:
+    """Each value with what is looked for: itself in texts, its digits (four or more) in digit forms."""
+    needle = F.lower(F.trim("value"))
+    digits = address.digits_of(needle)
+    looked = F.array(
+        F.struct(F.lit("person").alias("space"), needle.alias("needle")),
+        F.struct(F.lit("chat").alias("space"), needle.alias("needle")),
+        F.struct(F.lit("digits").alias("space"), F.when(F.length(digits) >= MIN_DIGITS, digits).alias("needle")),
+    )
+    return values.distinct().select("value", F.inline(looked)).filter("needle IS NOT NULL")
+
+
+def match_names(values: DataFrame, handles: DataFrame, chats: DataFrame | None = None) -> DataFrame:
+    """(space, value, key): people by name, address or digits, and chats by title or group name, in one look-up."""
+    fields = F.array(
+        F.struct(F.lit("person").alias("space"), F.lower("name").alias("field")),
+        F.struct(F.lit("person").alias("space"), F.lower("address").alias("field")),
+        F.struct(F.lit("digits").alias("space"), F.col("digits").alias("field")),
+    )
+    rows = handles.select(F.col("handle_id").alias("key"), F.inline(fields))
+    if chats is not None:
+        titles = F.array(
+            F.struct(F.lit("chat").alias("space"), F.lower("title").alias("field")),
+            F.struct(F.lit("chat").alias("space"), F.lower("display_name").alias("field")),
+        )
+        rows = rows.unionByName(chats.select(F.col("chat_id").alias("key"), F.inline(titles)))
+    needles = _needles(values)
+    found = contains_join(needles.select("space", F.col("needle").alias("value")), rows)
+    back = needles.join(found.withColumnRenamed("value", "needle"), ["space", "needle"])
+    kind = F.when(F.col("space") == "chat", "chat").otherwise("person")
+    return back.select(kind.alias("space"), "value", "key").distinct()
+
+
+def people_of(names: DataFrame) -> DataFrame:
+    return names.filter("space = 'person'").select("value", F.col("key").alias("handle_id"))
+
+
+def chats_of(names: DataFrame, members: DataFrame) -> DataFrame:
+    """Chats by their own name, or with a matched person among their members."""
+    titled = names.filter("space = 'chat'").select("value", F.col("key").alias("chat_id"))
+    return titled.unionByName(people_of(names).join(members, "handle_id").select("value", "chat_id")).distinct()
 
 
 def match_people(values: DataFrame, handles: DataFrame) -> DataFrame:
     """(value, handle_id): name or address contains the value, or its digits are in the digit form."""
-    clean = values.select(F.lower(F.trim("value")).alias("needle"), "value")
-    by_text = handles.select(
-        "handle_id", F.explode(F.array(F.lower("name"), F.lower("address"))).alias("field")
-    ).filter("field IS NOT NULL")
-    by_digits = handles.select("handle_id", F.col("digits").alias("field")).filter("field IS NOT NULL")
-    needles = clean.select(F.col("needle").alias("value")).distinct()
-    digits = clean.select(address.digits_of(F.col("needle")).alias("value")).filter(F.length("value") >= MIN_DIGITS).distinct()
-    texts = contains_join(needles, by_text, "handle_id").withColumnRenamed("value", "needle")
-    numbers = contains_join(digits, by_digits, "handle_id").withColumnRenamed("value", "digits")
-    named = clean.join(texts, "needle").select("value", "handle_id")
-    numbered = clean.withColumn("digits", address.digits_of(F.col("needle"))).join(numbers, "digits")
-    return named.unionByName(numbered.select("value", "handle_id")).distinct()
-
-
-def match_chats(values: DataFrame, chats: DataFrame, members: DataFrame, people: DataFrame) -> DataFrame:
+    return people_of(match_names(values, handles))
+
+
+def match_chats(values: DataFrame, handles: DataFrame, chats: DataFrame, members: DataFrame) -> DataFrame:
     """(value, chat_id): title or group name contains the value, or a matched person is a member."""
-    clean = values.select(F.lower(F.trim("value")).alias("needle"), "value")
-    names = chats.select("chat_id", F.explode(F.array(F.lower("title"), F.lower("display_name"))).alias("field"))
-    found = contains_join(
-        clean.select(F.col("needle").alias("value")).distinct(), names.filter("field IS NOT NULL"), "chat_id"
-    ).withColumnRenamed("value", "needle")
-    titled = clean.join(found, "needle").select("value", "chat_id")
-    return titled.unionByName(people.join(members, "handle_id").select("value", "chat_id")).distinct()
+    return chats_of(match_names(values, handles, chats), members)
 
 
 @dataclass(frozen=True)
@@ -79,23 +107,42 @@ class Resolved:
 
 
 def resolve(parsed: DataFrame, handles: DataFrame, chats: DataFrame, members: DataFrame) -> Resolved:
-    """Several people widen, several chats narrow; a value that matches nothing empties the query."""
+    """Several people widen, several chats narrow; a value that matches nothing empties the query.
+
+    The look-ups are small next to the messages and read by every list of a search, so they are
+    written once.
+    """
+    spark = parsed.sparkSession
     me = F.lower(F.trim("value")) == "me"
-    wanted_people = parsed.select("query_id", F.explode("from_vals").alias("value")).distinct()
-    wanted_chats = parsed.select("query_id", F.explode("chat_vals").alias("value")).distinct()
-    named = wanted_people.filter(~me)
-    values = named.select("value").unionByName(wanted_chats.select("value")).distinct()
-    people = match_people(values, handles)
-    found_people = named.join(people, "value").select("query_id", "value", "handle_id")
-    chat_matches = match_chats(wanted_chats.select("value").distinct(), chats, members, people)
-    found_chats = wanted_chats.join(chat_matches, "value")
-    all_values = found_chats.groupBy("query_id", "chat_id").agg(F.count(F.lit(1)).alias("_n"))
-    n_values = wanted_chats.groupBy("query_id").agg(F.count(F.lit(1)).alias("_wanted"))
-    kept_chats = all_values.join(n_values, "query_id").filter("_n = _wanted").select("query_id", "chat_id")
-    unmatched = named.join(found_people.select("query_id", "value").distinct(), ["query_id", "value"], "left_anti")
-    no_chat = n_values.join(kept_chats.select("query_id").distinct(), "query_id", "left_anti")
-    hopeless = unmatched.select("query_id").unionByName(no_chat.select("query_id")).distinct()
-    flags = parsed.join(hopeless, "query_id", "left_anti").select(
+    wanted = parsed.select(
+        "query_id", F.inline(F.concat(
+            F.transform("from_vals", lambda x: F.struct(F.lit("person").alias("space"), x.alias("value"))),
+            F.transform("chat_vals", lambda x: F.struct(F.lit("chat").alias("space"), x.alias("value"))),
+        ))
+    ).filter((F.col("space") == "chat") | ~me).distinct()
+    if wanted.isEmpty():
+        return Resolved(
+            spark.createDataFrame([], "query_id long, handle_id long"),
+            spark.createDataFrame([], "query_id long, chat_id long"),
+            _flags(parsed),
+        )
+    names = durable(match_names(wanted.select("value"), handles, chats))
+    keys = people_of(names).select(F.lit("person").alias("space"), "value", F.col("handle_id").alias("key")).unionByName(
+        chats_of(names, members).select(F.lit("chat").alias("space"), "value", F.col("chat_id").alias("key"))
+    )
+    found = durable(wanted.join(keys, ["space", "value"]))
+    people = found.filter("space = 'person'").select("query_id", F.col("key").alias("handle_id")).distinct()
+    n_values = wanted.filter("space = 'chat'").groupBy("query_id").agg(F.count(F.lit(1)).alias("_wanted"))
+    shared = found.filter("space = 'chat'").groupBy("query_id", "key").agg(F.count(F.lit(1)).alias("_n"))
+    kept_chats = shared.join(n_values, "query_id").filter("_n = _wanted").select("query_id", F.col("key").alias("chat_id"))
+    unmatched = wanted.join(found, ["query_id", "space", "value"], "left_anti").select("query_id")
+    no_chat = n_values.join(kept_chats, "query_id", "left_anti").select("query_id")
+    hopeless = unmatched.unionByName(no_chat)
+    return Resolved(people, durable(kept_chats), durable(_flags(parsed.join(hopeless, "query_id", "left_anti"))))
+
+
+def _flags(parsed: DataFrame) -> DataFrame:
+    return parsed.select(
         "query_id",
         (F.size("from_vals") > 0).alias("has_from"),
         F.exists("from_vals", lambda v: F.lower(F.trim(v)) == "me").alias("from_me_too"),
@@ -104,7 +151,6 @@ def resolve(parsed: DataFrame, handles: DataFrame, chats: DataFrame, members: Da
         "after_ts",
         "before_ts",
     )
-    return Resolved(found_people.select("query_id", "handle_id").distinct(), kept_chats, flags)
 
 
 def attachment_flags(attachments: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from chatlake.functions import kinds, text
 from chatlake.functions.arrays import run_lengths
 from chatlake.operators import filters, querytable
 from chatlake.plans.ordered import top_per_group
-from chatlake.session import durable
+from chatlake.session import durable, spread
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -68,9 +68,15 @@ def build_stats(messages: DataFrame) -> DataFrame:
 
 
 def build_index(messages: DataFrame) -> Index:
-    """Terms of all rows, whatever their kind, since corpus statistics count them all."""
-    postings = build_postings(messages)
-    return Index(postings, build_vocabulary(postings), build_stats(messages))
+    """Terms of all rows, whatever their kind, since corpus statistics count them all.
+
+    The tables are written once to the checkpoint folder; a search reads them several times.
+    """
+    postings = durable(build_postings(spread(messages.select("message_id", "text"))))
+    lengths = postings.groupBy("message_id").agg(F.first("length").alias("length")).agg(F.sum("length")).scalar()
+    n = messages.agg(F.count(F.lit(1)).alias("n"))
+    stats = n.select("n", (F.coalesce(lengths, F.lit(0)) / F.col("n")).alias("avg_length"))
+    return Index(postings, durable(build_vocabulary(postings)), durable(stats))
 
 
 def _expand(atoms: DataFrame, index: Index) -> DataFrame:
@@ -82,7 +88,7 @@ def _expand(atoms: DataFrame, index: Index) -> DataFrame:
     return words.select("atom", "term").unionByName(exact)
 
 
-def _phrase_hits(atoms: DataFrame, index: Index) -> DataFrame:
+def phrase_hits(atoms: DataFrame, index: Index) -> DataFrame:
     """Messages holding a phrase's tokens next to each other and in order, and how often."""
     parts = atoms.filter("mode = 'phrase'").select("atom", F.size("tokens").alias("parts"), F.posexplode("tokens").alias("i", "term"))
     placed = parts.join(index.postings, "term").select(
@@ -105,9 +111,9 @@ def atom_hits(atoms: DataFrame, index: Index) -> DataFrame:
         .groupBy("atom", "message_id")
         .agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
     )
-    hits = words.unionByName(_phrase_hits(atoms, index).withColumn("tf", F.col("tf").cast("long")))
-    average = index.stats.select("avg_length").scalar()
-    norm = F.lit(1 - B) + F.lit(B) * F.col("length") / average
+    hits = words.unionByName(phrase_hits(atoms, index).withColumn("tf", F.col("tf").cast("long")))
+    average = index.stats.first()["avg_length"] or 1.0  # one row
+    norm = F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(average)
     return hits.select("atom", "message_id", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("weight"))
 
 
@@ -121,24 +127,22 @@ class Matches:
     index: Index
 
 
-def match(parsed: DataFrame, index: Index, materialise: bool = True) -> Matches:
+def match(parsed: DataFrame, index: Index) -> Matches:
     """Occurrences of all atoms of a query table.
 
     They are read several times below, so they are written once to the checkpoint folder.
     """
-    terms = querytable.strict_terms(parsed).unionByName(querytable.relaxed_terms(parsed))
+    terms = durable(querytable.strict_terms(parsed).unionByName(querytable.relaxed_terms(parsed)))
     atoms = terms.select("atom", "mode", "tokens").dropDuplicates(["atom"])
-    hits = atom_hits(atoms, index)
-    if materialise:
-        hits = durable(hits)
+    hits = durable(atom_hits(atoms, index))
     frequency = hits.groupBy("atom").agg(F.count(F.lit(1)).alias("df"))
-    total = index.stats.select("n").scalar()
+    total = F.lit(index.stats.first()["n"])
     df = F.coalesce("df", F.lit(0))
     idf = F.log((total - df + 0.5) / (df + 0.5))
     groups = terms.join(frequency, "atom", "left").select(
         "query_id", "plan", "group_no", "atom", df.alias("df"), F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF)).alias("idf")
     )
-    return Matches(groups, hits, querytable.excluded_terms(parsed), index)
+    return Matches(durable(groups), hits, querytable.excluded_terms(parsed), index)
 
 
 def _without_excluded(rows: DataFrame, m: Matches) -> DataFrame:
@@ -230,5 +234,5 @@ def keyword_search(
     )
     any_word = ranked_list(relaxed_scores(m, few), messages, resolved, scan_cap, pool)
     fresh = any_word.join(strict.select("query_id", "message_id"), ["query_id", "message_id"], "left_anti")
-    relaxed = top_per_group(fresh.drop("rank"), ["query_id"], [F.desc("score"), F.desc("message_id")], pool)
+    relaxed = durable(top_per_group(fresh.drop("rank"), ["query_id"], [F.desc("score"), F.desc("message_id")], pool))
     return KeywordLists(strict, relaxed.select("query_id", "message_id", "score", "rank"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.functions import vectors as vector_functions
 from chatlake.operators import embed, filters, fusion, keyword, nearest, querytable, windows
+from chatlake.session import durable, spread
 
 
 @dataclass(frozen=True)
@@ -25,13 +27,21 @@ class Corpus:
 
 def with_windows(corpus: Corpus, **caps) -> Corpus:
     """The corpus with windows of all its messages embedded by the native model."""
-    lines = windows.lines(corpus.messages, corpus.handles)
-    assigned = windows.assign(lines, **caps)
+    assigned = durable(windows.assign(windows.lines(corpus.messages, corpus.handles), **caps))
     built = windows.build(assigned, corpus.chats).withColumn("window_id", F.col("first_id"))
-    embedded = embed.bag_of_words(built.select("window_id", "text"), "text").withColumn("status", F.lit(embed.DONE))
-    vectors = embed.finish(built, embedded.drop("text"), embed.BagOfWords.model_id)
+    embedded = embed.bag_of_words(spread(built.select("window_id", "chat_id", "start_ts", "text")), "text")
+    vectors = embedded.drop("text").withColumn("q", vector_functions.to_int8(F.col("v")))
     placed = windows.message_windows(assigned).withColumn("window_id", F.col("first_id"))
-    return Corpus(corpus.messages, corpus.handles, corpus.chats, corpus.members, corpus.index, vectors, placed)
+    return replace(corpus, vectors=durable(vectors), message_windows=placed)
+
+
+@dataclass(frozen=True)
+class Lists:
+    """The ranked lists of a query table (strict, relaxed, meaning) and what they were made from."""
+
+    lists: dict[str, DataFrame]
+    parsed: DataFrame
+    resolved: filters.Resolved
 
 
 @dataclass(frozen=True)
@@ -41,41 +51,47 @@ class Results:
     parsed: DataFrame
 
 
-def rank(
+def ranked_lists(
     queries: DataFrame,
     corpus: Corpus,
-    limit: int = 50,
     tz: str = "UTC",
     model=None,
     keyword_only: bool = False,
-    vector_column: str = "q",
-) -> Results:
-    """Ranked messages of every query. Without vectors the result is keyword-only."""
-    parsed = querytable.parse(queries, tz)
+    column: str = "q",
+) -> Lists:
+    """All ranked lists. ``column`` picks int8 (``q``) or full (``v``) vectors for the meaning list."""
+    parsed = durable(querytable.parse(queries, tz))
     resolved = filters.resolve(parsed, corpus.handles, corpus.chats, corpus.members)
-    lists = keyword.keyword_search(parsed, corpus.index, corpus.messages, resolved)
-    ranked = {"strict": lists.strict, "relaxed": lists.relaxed}
-    semantic = corpus.vectors is not None and not keyword_only
-    if semantic:
-        model = model or embed.BagOfWords()
-        asked = embed.embed_queries(parsed, model).join(resolved.flags.select("query_id"), "query_id", "left_semi")
-        if vector_column == "q":
-            asked = asked.withColumn("q", embed.vectors.to_int8(F.col("v")))
-        near = nearest.knn(asked, corpus.vectors, nearest.search_bounds(parsed), column=vector_column)
-        near = nearest.cut(near, model.max_distance)
-        found = lists.strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-        later = lists.relaxed.join(found, "query_id", "left").withColumn("rank", F.col("rank") + F.coalesce("_n", F.lit(0)))
-        ranks = lists.strict.select("query_id", "message_id", "rank").unionByName(
-            later.select("query_id", "message_id", "rank")
-        )
-        ranked["meaning"] = nearest.anchors(
-            near, corpus.message_windows, corpus.messages, parsed, resolved, ranks
-        )
-    fused = fusion.fuse(ranked, limit)
-    listed = filters.filter_only(parsed, resolved, corpus.messages, limit).select(
-        "query_id", "message_id", "rank", F.lit(0.0).alias("score"), F.lit("filter").alias("matched_by")
+    found = keyword.keyword_search(parsed, corpus.index, corpus.messages, resolved)
+    lists = {"strict": found.strict, "relaxed": found.relaxed}
+    if corpus.vectors is None or keyword_only:
+        return Lists(lists, parsed, resolved)
+    model = model or embed.BagOfWords()
+    asked = embed.embed_queries(parsed, model).join(resolved.flags.select("query_id"), "query_id", "left_semi")
+    if column == "q":
+        asked = asked.withColumn("q", vector_functions.to_int8(F.col("v")))
+    near = nearest.knn(asked, corpus.vectors, nearest.search_bounds(parsed), column=column)
+    near = durable(nearest.cut(near, model.max_distance))
+    counts = found.strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    after = found.relaxed.join(counts, "query_id", "left").select(
+        "query_id", "message_id", (F.col("rank") + F.coalesce("_n", F.lit(0))).alias("rank")
     )
-    return Results(fused.unionByName(listed), semantic, parsed)
+    ranks = found.strict.select("query_id", "message_id", "rank").unionByName(after)
+    lists["meaning"] = nearest.anchors(near, corpus.message_windows, corpus.messages, parsed, resolved, ranks)
+    return Lists(lists, parsed, resolved)
+
+
+def rank(queries: DataFrame, corpus: Corpus, limit: int = 50, **options) -> Results:
+    """Ranked messages of every query. Without vectors the result is keyword-only."""
+    made = ranked_lists(queries, corpus, **options)
+    fused = fusion.fuse(made.lists, limit)
+    silent = made.parsed.filter(~querytable.has_text() & querytable.has_filters())
+    if not silent.isEmpty():
+        listed = filters.filter_only(made.parsed, made.resolved, corpus.messages, limit).select(
+            "query_id", "message_id", "rank", F.lit(0.0).alias("score"), F.lit("filter").alias("matched_by")
+        )
+        fused = fused.unionByName(listed)
+    return Results(fused, "meaning" in made.lists, made.parsed)
 
 
 def search(queries: DataFrame, corpus: Corpus, limit: int = 50, **options) -> DataFrame:

@@ -50,3 +50,9 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on an input with fewer splits than cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

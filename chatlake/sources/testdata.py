@@ -192,7 +192,7 @@ class TestData:
             d.doc_id.alias("source_id"),
             F.concat(F.lit("d"), d.doc_id.cast("string")).alias("guid"),
             F.regexp_extract(d.source, r"(\d+)", 1).cast("long").alias("chat_id"),
-            F.ascii(d.lang).cast("long").alias("handle_id"),
+            (F.ascii(d.lang) * 256 + F.ascii(F.substring(d.lang, 2, 1))).cast("long").alias("handle_id"),
             (d.lang == "en").alias("from_me"),
             F.timestamp_seconds(F.lit(1704067200) + d.doc_id * 60).alias("ts"),
             d.text,
@@ -206,7 +206,7 @@ class TestData:
     def document_handles(self) -> DataFrame:
         d = self.table("documents")
         return (
-            d.select(F.ascii(d.lang).cast("long").alias("handle_id"), d.lang.alias("address"))
+            d.select((F.ascii(d.lang) * 256 + F.ascii(F.substring(d.lang, 2, 1))).cast("long").alias("handle_id"), d.lang.alias("address"))
             .distinct()
             .select("handle_id", "address", F.concat(F.lit("Author "), "address").alias("name"), F.lit(None).cast("string").alias("digits"))
         )
