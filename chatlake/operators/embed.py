@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from chatlake.functions import text, vectors
 from chatlake.operators import windows
@@ -59,7 +60,7 @@ def _bucket(word: Column) -> Column:
     return rule.otherwise(hashed.cast("int") + len(SYNONYMS))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _unit_counts(buckets: pd.Series) -> pd.Series:
     """Bucket numbers of each text to a vector of counts at length one."""
 

@@ -9,7 +9,7 @@ from chatlake.functions import address, text
 
 REPLACED = ["text", "chat_id", "kind", "edited", "unsent", "has_link", "attach_count"]
 COMPARED = ["text", "chat_id", "edited", "unsent", "attach_count"]
-BEGINNING = "0001-01-01 00:00:00"
+BEGINNING = "1900-01-01 00:00:00"
 
 
 # ------------------------------------------------------------------- people

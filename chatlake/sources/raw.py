@@ -93,6 +93,11 @@ def since(rows: DataFrame, bound: Column | None) -> DataFrame:
     return rows.filter(F.col("date") >= (F.unix_micros(start) - times.SOURCE_EPOCH_MICROS) * 1000)
 
 
+def times_of(raw: Raw) -> DataFrame:
+    """Source id and time of every row: the two columns that cursors need."""
+    return raw.message.select(F.col("rowid").alias("source_id"), times.from_source_nanos("date").alias("ts"))
+
+
 def messages(raw: Raw, bound: Column | None = None) -> DataFrame:
     """Canonical messages: classified, cleaned, inside a chat, without reactions.
 
