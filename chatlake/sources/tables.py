@@ -52,22 +52,30 @@ class History:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._state: dict[str, str | None] | None = None
 
     # ------------------------------------------------------------- job state
+    def _all_state(self) -> dict[str, str | None]:
+        """Latest value of every key (a few dozen), read once: one job owns a history at a time."""
+        if self._state is None:
+            try:
+                rows = self.spark.read.schema(schemas.STATE).parquet(f"{self.path}/state")
+                latest = rows.groupBy("key").agg(F.max_by("value", "seq").alias("v")).collect()
+                self._state = {r["key"]: r["v"] for r in latest}
+            except AnalysisException:
+                self._state = {}
+        return self._state
+
     def state(self, key: str) -> str | None:
-        """Latest value of a key."""
-        try:
-            rows = self.spark.read.schema(schemas.STATE).parquet(f"{self.path}/state")
-        except AnalysisException:
-            return None
-        row = rows.filter(F.col("key") == key).agg(F.max_by("value", "seq").alias("v")).first()
-        return row["v"]
+        return self._all_state().get(key)
 
     def set_state(self, **values: object) -> None:
         """All given keys at once: one file, one rename."""
+        texts = {k: None if v is None else str(v) for k, v in values.items()}
         seq = time.time_ns()
-        rows = [(k, None if v is None else str(v), seq) for k, v in values.items()]
+        rows = [(k, v, seq) for k, v in texts.items()]
         self.spark.createDataFrame(rows, schemas.STATE).coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        self._all_state().update(texts)
 
     # ---------------------------------------------------------------- tables
     def _folder(self, name: str) -> str | None:
