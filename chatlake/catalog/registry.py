@@ -31,7 +31,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
 
     def bind(fn):
-        return lambda spark, sf_dir: fn(TestData(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times carry no zone
+            return fn(TestData(spark, sf_dir))
+
+        return run
 
     return {name: bind(fn) for name, (fn, _) in REGISTRY.items()}
 

@@ -50,8 +50,10 @@ def clean(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics, precomposed or combining."""
-    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}+", "")
+    """Lower case without diacritics, precomposed or combining. Plain ASCII texts skip the letter map."""
+    lower = F.lower(text)
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, lower).otherwise(F.regexp_replace(F.translate(lower, MARKED, PLAIN), r"\p{Mn}+", ""))
 
 
 def tokens(text: Column) -> Column:

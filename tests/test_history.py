@@ -269,3 +269,13 @@ def test_snippets(spark):
     got = {r.id: r.snippet for r in fusion.add_snippets(rows, 80).collect()}
     assert got[1].startswith("…") and got[1].endswith("…") and "\x02gate\x03 \x02code\x03" in got[1]
     assert (got[2], got[3], got[4]) == ("encoded \x02code\x03", "Attachment", "plain")
+
+
+def test_transcript_pattern(spark):
+    rows = [(1, 'where is the "lake  house" gate c++'), (2, "is it"), (3, "has:link")]
+    parsed = querytable.parse(spark.createDataFrame(rows, "query_id long, text string"))
+    got = {r.query_id: r.pattern for r in querytable.transcript_pattern(parsed).collect()}
+    assert got[1] == r"(?iu)((?<![\p{L}\p{N}])gate|lake\s+house)" and got[3] is None
+    assert r"(?<![\p{L}\p{N}])is" in got[2]
+    marked = parsed.sparkSession.range(1).select(F.regexp_replace(F.lit("the Gate of the Lake House"), got[1], "<$1>").alias("m"))
+    assert marked.first().m == "the <Gate> of the <Lake House>"
