@@ -163,7 +163,10 @@ def strict_scores(m: Matches) -> DataFrame:
     )
     candidates = plan.filter("least > 0").join(m.hits.select("atom", "message_id"), "atom")
     candidates = candidates.select("query_id", "n_groups", "message_id")
-    checked = candidates.join(groups.select("query_id", "atom", "idf"), "query_id").join(m.hits, ["atom", "message_id"])
+    # Occurrences are many and compress well: never broadcast them for their small files.
+    checked = candidates.join(groups.select("query_id", "atom", "idf"), "query_id").join(
+        m.hits.hint("merge"), ["atom", "message_id"]
+    )
     scored = checked.groupBy("query_id", "message_id", "n_groups").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("idf") * F.col("weight")).alias("score")
     )
