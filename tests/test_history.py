@@ -103,39 +103,27 @@ def test_chat_list_and_context(history):
     assert [r.message_id for r in around] == [1, 2, 3]
 
 
-@pytest.fixture
-def fresh(spark, tmp_path):
+def test_incremental(spark, tmp_path):
     h = History(spark, str(tmp_path / "h"))
     sync.sync(h, raw(spark), full=True, contacts=contacts(spark))
     sync.embed_windows(h)
-    return h
-
-
-def waiting(h):
-    return windows.pending(h.read("windows"), h.read("vectors"), embed.BagOfWords.model_id).count()
-
-
-def test_incremental(spark, fresh):
+    # A reply five minutes later joins its window; a back-dated row a day later makes a new one.
     now = F.lit("2024-02-01").cast("timestamp")
-    again = sync.sync(fresh, raw(spark), contacts=contacts(spark), now=now)
-    assert (again.changed, again.windows_written, waiting(fresh)) == (0, 0, 0)
-    # A reply five minutes later joins the window; a back-dated row a day later makes a new one.
-    reply = MESSAGES + [message(30, 10, None, True, T0 + 5 * MINUTE, "omw")]
-    report = sync.sync(fresh, raw(spark, reply), contacts=contacts(spark), now=now)
-    assert report.changed == 1 and fresh.read("windows").count() == 5 and waiting(fresh) == 1
-    later = reply + [message(31, 10, None, True, T0 + DAY, "dinner friday?")]
-    sync.sync(fresh, raw(spark, later), contacts=contacts(spark), now=now)
-    assert fresh.read("windows").count() == 6
-    # An edit updates the text and nothing else; an unsent message leaves its window.
-    edited = [message(2, 10, 1, False, T0 + MINUTE, "the gate code is 5582#", date_edited=1), *[x for x in later if x[0]["rowid"] != 2]]
-    sync.sync(fresh, raw(spark, edited), full=True, contacts=contacts(spark))
-    row = fresh.read("messages").filter("message_id = 2").first()
-    assert row.text == "the gate code is 5582#" and row.edited
-    # Deleted rows go away in a full sync, with their windows.
-    kept = [x for x in edited if x[1] != 11]
-    report = sync.sync(fresh, raw(spark, kept), full=True, contacts=contacts(spark))
-    assert report.deleted == 3 and fresh.read("messages").filter("chat_id = 11").isEmpty()
-    assert fresh.read("windows").filter("chat_id = 11").isEmpty()
+    more = MESSAGES + [
+        message(30, 10, None, True, T0 + 5 * MINUTE, "omw"),
+        message(31, 10, None, True, T0 + DAY, "dinner friday?"),
+    ]
+    report = sync.sync(h, raw(spark, more), contacts=contacts(spark), now=now)
+    assert (report.changed, report.touched_chats, h.read("windows").count()) == (2, 1, 6)
+    waiting = windows.pending(h.read("windows"), h.read("vectors"), embed.BagOfWords.model_id)
+    assert waiting.count() == 2 and {r.chat_id for r in waiting.collect()} == {10}
+    # A full sync: an edit updates the text; a deleted conversation goes away with its windows.
+    edited = message(2, 10, 1, False, T0 + MINUTE, "the gate code is 5582#", date_edited=1)
+    kept = [edited, *[x for x in more if x[0]["rowid"] != 2 and x[1] != 11]]
+    report = sync.sync(h, raw(spark, kept), full=True, contacts=contacts(spark))
+    row = h.read("messages").filter("message_id = 2").first()
+    assert (row.text, row.edited, report.deleted, report.changed) == ("the gate code is 5582#", True, 3, 1)
+    assert h.read("messages").filter("chat_id = 11").isEmpty() and h.read("windows").filter("chat_id = 11").isEmpty()
 
 
 def test_interrupted_rebuild_is_resumed(spark, tmp_path):
@@ -150,7 +138,8 @@ def test_interrupted_rebuild_is_resumed(spark, tmp_path):
 
 def test_contacts_file(spark, tmp_path):
     h = History(spark, str(tmp_path / "h"))
-    sync.sync(h, raw(spark), full=True)
+    sync.sync_people(h, raw(spark))
+    sync.apply_messages(h, raw_source.messages(raw(spark)))
     assert h.read("chats").filter("chat_id = 10").first().title == "+15555550101"
     path = tmp_path / "names.json"
     path.write_text(json.dumps({"contacts": CONTACTS}))
