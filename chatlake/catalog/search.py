@@ -9,7 +9,7 @@ from chatlake.catalog.registry import query
 from chatlake.functions import text
 from chatlake.operators import filters, fusion, keyword, querytable
 from chatlake.plans import search as plan
-from chatlake.session import durable
+from chatlake.session import durable, spread
 
 
 def quoted(words) -> str:
@@ -188,14 +188,14 @@ def document_tokens(d):
     DOCS + "SELECT term, message_id, count(*) AS tf, CAST(sum(pos) AS BIGINT) AS places FROM tok GROUP BY ALL",
 )
 def keyword_postings(d):
-    p = keyword.build_postings(documents(d))
+    p = keyword.build_postings(spread(documents(d).select("message_id", "text")))
     places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
     return p.select("term", "message_id", F.col("tf").cast("long").alias("tf"), places.alias("places"))
 
 
 @query("keyword_vocabulary", DOCS + "SELECT term, df, left(term, 2) AS stem FROM vocab")
 def keyword_vocabulary(d):
-    return keyword.build_vocabulary(keyword.build_postings(documents(d))).select("term", "df", "stem")
+    return keyword.build_vocabulary(keyword.build_postings(spread(documents(d).select("message_id", "text")))).select("term", "df", "stem")
 
 
 @query("keyword_stats", DOCS + "SELECT n, round(avg_length, 9) AS avg_length FROM stats")

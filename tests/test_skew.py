@@ -25,7 +25,7 @@ def rows(spark):
     return spark.createDataFrame(out, "chat_id long, ts timestamp, message_id long, line string").cache()
 
 
-def reference_windows(data, max_bytes=900, max_messages=16):
+def brute_force_windows(data, max_bytes=900, max_messages=16):
     first = {}
     by_chat = {}
     for chat, ts, i, line in data:
@@ -45,7 +45,7 @@ def reference_windows(data, max_bytes=900, max_messages=16):
 @pytest.mark.parametrize("target", [None, SLICE, 7])
 def test_window_caps(rows, target):
     got = {r.message_id: r.first_id for r in windows.assign(rows, target_rows=target).collect()}
-    assert got == reference_windows([tuple(r) for r in rows.collect()])
+    assert got == brute_force_windows([tuple(r) for r in rows.collect()])
 
 
 @pytest.mark.parametrize("target", [None, SLICE])
@@ -53,7 +53,7 @@ def test_short_lines_fill_windows_by_count(spark, target):
     data = [(1, datetime(2024, 1, 1) + timedelta(seconds=i), i, "a") for i in range(300)]
     frame = spark.createDataFrame(data, "chat_id long, ts timestamp, message_id long, line string")
     got = {r.message_id: r.first_id for r in windows.assign(frame, target_rows=target).collect()}
-    assert got == reference_windows(data)
+    assert got == brute_force_windows(data)
 
 
 def test_ordered(rows):
