@@ -28,7 +28,7 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 BLOCK = 1 << 20
 #: Labelled rows that the model is fitted on at most; which ones is decided by a hash of their id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 
 _SPACE = np.zeros(256, np.int32)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
 
     got = texts.mapInArrow(count, "doc_id long, label int, bucket binary, n binary").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r["doc_id"])
-    return fit([(r["label"], np.frombuffer(r["bucket"], "<i4").astype(np.int64), np.frombuffer(r["n"], "<i4")) for r in got])
+    return fit([(r["label"], np.frombuffer(r["bucket"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in got])
 
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
