@@ -4,7 +4,7 @@ from importlib import import_module
 
 from chatlake.llm.common import QUERIES, SQL
 
-MODULES = ("simhash", "quality")
+MODULES = ("simhash", "decontaminate", "quality", "suffixes")
 
 
 def load() -> tuple[dict, dict]:
