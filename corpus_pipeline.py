@@ -11,12 +11,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlake.llm import quality, simhash
+from chatlake.llm import bpe, decontaminate, quality, simhash, suffixes
 from chatlake.session import ensure_checkpoint_dir
 
 STAGES = [
     ("quality", quality.stage),
     ("near_duplicates", simhash.stage),
+    ("repeated_passages", suffixes.stage),
+    ("decontamination", decontaminate.stage),
+    ("token_ids", bpe.stage),
 ]
 
 ORACLE_SQL = None  # no stage can be expressed in SQL
