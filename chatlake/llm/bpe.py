@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import documents, pair, query
+from chatlake.llm.common import documents, pair, query, small
 from chatlake.llm.pieces import PieceMemo, packed
 from chatlake.session import durable
 
@@ -73,7 +73,7 @@ def _ids(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = memo(path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.names.index("text")
             ids = pa.array(coder.encode(batch.column(at).to_pylist()), pa.binary())
             keep = [k for k in range(batch.num_columns) if k != at]
@@ -95,7 +95,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     cut = durable(cut)  # fixes the row numbers
 
     def split(batches):
-        for batch in batches:
+        for batch in small(batches, 16):
             n, start, text = (batch.column(k).to_pylist() for k in (1, 2, 3))
             left, right = [], []
             for size, s, t in zip(n, start, text, strict=True):
@@ -138,7 +138,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         known = tokens(path).__getitem__
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(batch.schema.names.index("ids")).to_pylist()
             texts = [b"".join(map(known, np.frombuffer(x, "<u4").tolist())) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])

@@ -17,7 +17,7 @@ _SIZE = 1 << 20
 class PieceMemo:
     """``encode_many`` encodes a list of strings, each to its ids as bytes. At most ``limit`` pieces are kept."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 150_000):
         self.encode_many, self.limit, self.known = encode_many, limit, {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
