@@ -4,7 +4,7 @@ from importlib import import_module
 
 from chatlake.llm.common import QUERIES, SQL
 
-MODULES = ("bpe", "simhash", "decontaminate", "quality", "suffixes")
+MODULES = ("bpe", "simhash", "decontaminate", "quality", "suffixes", "tokenfiles")
 
 
 def load() -> tuple[dict, dict]:
