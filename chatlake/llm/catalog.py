@@ -4,7 +4,7 @@ from importlib import import_module
 
 from chatlake.llm.common import QUERIES, SQL
 
-MODULES = ("bpe", "warc", "simhash", "licences", "decontaminate", "quality", "suffixes", "tokenfiles")
+MODULES = ("bpe", "warc", "simhash", "licences", "phrases", "decontaminate", "quality", "suffixes", "tokenfiles")
 
 
 def load() -> tuple[dict, dict]:
