@@ -67,25 +67,33 @@ def boundaries(chunk: str, last: bool, pattern: str = public_tokenizers.PATTERN)
     return [e for e in ends if e <= stop and not chunk[e - 1].isspace()]
 
 
+def decode(ids: bytes, path: str) -> bytes:
+    """The raw bytes of the ids one after the other."""
+    return b"".join(map(tokens(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def _ids(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """df + ids binary, of the column text, which goes."""
+    """df with ids binary in place of text, and decoded binary, which is made from the ids alone."""
     rest = [f for f in df.schema if f.name != "text"]
 
     def run(batches):
         coder = memo(path, pattern)
         for batch in small(batches):
             at = batch.schema.names.index("text")
-            ids = pa.array(coder.encode(batch.column(at).to_pylist()), pa.binary())
+            ids = coder.encode(batch.column(at).to_pylist())
+            texts = [decode(x, path) for x in ids]
             keep = [k for k in range(batch.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], ids], names=[*[batch.schema.names[k] for k in keep], "ids"])
+            columns = [*[batch.column(k) for k in keep], pa.array(ids, pa.binary()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[batch.schema.names[k] for k in keep], "ids", "decoded"])
 
     from pyspark.sql.types import BinaryType, StructType
 
-    return df.mapInArrow(run, StructType(list(rest)).add("ids", BinaryType()))
+    return df.mapInArrow(run, StructType(list(rest)).add("ids", BinaryType()).add("decoded", BinaryType()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids binary: little-endian unsigned 32-bit integers) of (doc_id, text)."""
+    """(doc_id, ids binary, decoded binary) of (doc_id, text): ids are little-endian unsigned 32-bit integers, and what they
+    decode to comes with them, since a second pass of Python over all ids would only cost memory."""
     short = _ids(docs.where(F.char_length("text") <= chunk + overlap), path, pattern)
     long = docs.where(F.char_length("text") > chunk + overlap).withColumn("row", F.monotonically_increasing_id())
     starts = F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(chunk))
@@ -127,29 +135,15 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
         .select("doc_id", "row", (F.col("lost") - chunk).alias("part"), F.expr("substring(array_join(c.text, ''), c[0].at - c[0].start + 1)").alias("text"))
     )
     pieces = _ids(fine.union(rest).repartition(tasks, "row", "part"), path, pattern)
-    whole = pieces.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("p"))  # of one text
-    together = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return short.union(whole.select("doc_id", together))
-
-
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded + decoded binary: the raw bytes of ``ids`` one after the other."""
-    from pyspark.sql.types import BinaryType, StructType
-
-    def run(batches):
-        known = tokens(path).__getitem__
-        for batch in small(batches):
-            ids = batch.column(batch.schema.names.index("ids")).to_pylist()
-            texts = [b"".join(map(known, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, StructType(list(encoded.schema.fields)).add("decoded", BinaryType()))
+    whole = pieces.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("part", "ids", "decoded"))).alias("p"))  # of one text
+    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return short.union(whole.select("doc_id", ids, F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["decoded"]))))
 
 
 @query("op1_byte_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    coded = decode(encode(pair(documents(spark, sf_dir)), path), path)
+    coded = encode(pair(documents(spark, sf_dir)), path)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -161,5 +155,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids binary, text): the ids of each text and the text decoded from them."""
     path = public_tokenizers.path(RANKS)
-    coded = decode(encode(pair(docs), path), path)
+    coded = encode(pair(docs), path)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
