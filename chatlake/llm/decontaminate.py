@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import documents, pair, query, table
+from chatlake.llm.common import documents, pair, query, small, table
 from chatlake.llm.words import words_of
 
 SIMILARITY = 0.8
@@ -216,7 +216,7 @@ def matches(docs: DataFrame, block: Benchmark) -> DataFrame:
     """(doc_id, item_id, edits, similarity, first_word) of (doc_id, text) and a block of items."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 2048):
             ids = batch.column(0)
             rows = block.search(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -248,7 +248,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for block in load(table(spark, sf_dir, "benchmark")):
 
         def clean(batches, block=block):
-            for batch in batches:
+            for batch in small(batches, 2048):
                 texts = batch.column(batch.schema.names.index("text")).to_pylist()
                 keep = np.ones(len(texts), bool)
                 keep[[r[0] for r in block.search(texts)]] = False

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import documents, held_out, pair, query, table
+from chatlake.llm.common import documents, held_out, pair, query, small, table
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Labelled rows that the model is fitted on at most; which ones is decided by a hash of their id.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 
 _SPACE = np.zeros(256, np.int32)
 _SPACE[[9, 10, 11, 12, 13, 32]] = 1
@@ -88,7 +88,7 @@ def _inverses(n: int) -> np.ndarray:
 
 
 def blocks(texts: list[str | None]):
-    """Lists of texts of about a megabyte together; a longer text stands alone."""
+    """Lists of texts of about BLOCK bytes together; a longer text stands alone."""
     held, size, at = [], 0, 0
     for k, text in enumerate(texts):
         raw = (text or "").encode()
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     texts = pair(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
     def count(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, label = batch.column(0), batch.column(1)
             buckets, counts = [], []
             for text in batch.column(2).to_pylist():
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     kept = docs.select(*[f.name for f in fields])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 512):
             at = batch.schema.names.index("text")
             s = model.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
