@@ -16,7 +16,7 @@ EVENT_LINES = """lines AS (
          'User ' || CAST(m.chat_id AS VARCHAR) AS title
   FROM messages m WHERE m.kind = 0)"""
 TURN_LINES = """lines AS (
-  SELECT chat_id, ts, message_id, who || ': ' || substring(text, 1, 900) AS line, title FROM messages WHERE text IS NOT NULL)"""
+  SELECT chat_id, ts, message_id, who || ': ' || text AS line, title FROM messages WHERE text IS NOT NULL)"""
 
 
 def window_ctes(gap_minutes: int, lines="lines", p="") -> str:

@@ -117,7 +117,7 @@ def nn_label_accuracy(d):
 
 @query(
     "embed_coverage",
-    v.with_(v.TURN_MESSAGES, "lines AS (SELECT chat_id, ts, message_id, who || ': ' || substring(text, 1, 900) AS line, title FROM messages WHERE text IS NOT NULL)",
+    v.with_(v.TURN_MESSAGES, "lines AS (SELECT chat_id, ts, message_id, who || ': ' || text AS line, title FROM messages WHERE text IS NOT NULL)",
             window_ctes(45), recursive=True)
     + "SELECT count(*) FILTER (WHERE n_messages > 1) AS done, count(*) AS windows FROM windows",
 )
@@ -137,7 +137,7 @@ def passages(d):
     return d.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-LINES = "lines AS (SELECT chat_id, ts, message_id, who || ': ' || substring(text, 1, 900) AS line, title FROM messages WHERE text IS NOT NULL)"
+LINES = "lines AS (SELECT chat_id, ts, message_id, who || ': ' || text AS line, title FROM messages WHERE text IS NOT NULL)"
 PASSAGES = f"""asked AS (SELECT item_id AS query_id, text FROM benchmark),
 qtok AS (SELECT query_id, unnest(t) AS tok, unnest(range(len(t))) AS i, len(t) AS n FROM (SELECT query_id, {s.sql_tokens('text')} AS t FROM asked)),
 useful AS (SELECT query_id, tok, min(i) AS i, max(n) AS n FROM qtok WHERE length(tok) > 1 AND tok NOT IN ({s.quoted(text.STOPWORDS)}) GROUP BY 1, 2),

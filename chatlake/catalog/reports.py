@@ -70,7 +70,7 @@ def attachment_page(d):
 @query(
     "attachment_page_newest",
     A + """SELECT a.attachment_id, a.bytes, epoch_ms(m.ts) AS ts_ms FROM attachments a
-    JOIN messages m ON m.message_id = a.message_id ORDER BY m.ts DESC, a.attachment_id DESC LIMIT 500""",
+    JOIN messages m ON m.message_id = a.message_id ORDER BY m.ts DESC, a.attachment_id DESC LIMIT 10000""",
 )
 def attachment_page_newest(d):
     f = storage.AttachmentFilter(sort="date", limit=10_000)

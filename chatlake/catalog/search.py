@@ -140,8 +140,7 @@ scored AS (SELECT g.query_id, g.plan, h.message_id, count(*) AS k, sum(g.idf * h
 capped AS (SELECT s.*, e.ts FROM scored s JOIN eligible e ON e.query_id = s.query_id AND e.message_id = s.message_id
   LEFT JOIN ng ON ng.query_id = s.query_id
   WHERE (s.plan = 'relaxed' OR s.k = ng.n)
-    AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = s.query_id AND b.message_id = s.message_id)
-  QUALIFY row_number() OVER (PARTITION BY s.query_id, s.plan ORDER BY s.message_id DESC) <= 3000),
+    AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = s.query_id AND b.message_id = s.message_id)),
 blended AS (SELECT query_id, plan, message_id,
     round(score * (0.75 + 0.25 * exp(-greatest(epoch_us((SELECT max(ts) FROM messages)) - epoch_us(ts), 0) / 86400000000.0 / 730.0)), 9) AS score
   FROM capped),
@@ -171,7 +170,7 @@ def keyword_lists(d):
     c = corpus(d)
     parsed = durable(querytable.parse(searches(d)))
     resolved = filters.resolve(parsed, c.handles, c.chats, c.members)
-    return keyword.keyword_search(parsed, c.index, c.messages, resolved)
+    return keyword.keyword_search(parsed, c.index, c.messages, resolved, fusion.depth(50))
 
 
 # --------------------------------------------------------------------- index

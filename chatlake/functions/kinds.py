@@ -22,16 +22,6 @@ STICKER_REACTION = 2007
 REMOVAL_OFFSET = 1000
 
 
-def message_kind(code: Column) -> Column:
-    """Known code, or text for anything else."""
-    return F.when(code.isin(SYSTEM, APP), code).otherwise(TEXT).cast("tinyint")
-
-
-def attachment_kind_code(code: Column) -> Column:
-    """Known code, or file for anything else."""
-    return F.when(code.isin(IMAGE, VIDEO, AUDIO, STICKER), code).otherwise(FILE).cast("tinyint")
-
-
 def attachment_kind(mime: Column, filename: Column, is_sticker: Column) -> Column:
     """Sticker flag first, then the MIME family, then the file extension, else file."""
     mime = F.coalesce(mime, F.lit(""))

@@ -21,7 +21,3 @@ def unit(v: Column, floor: float = 1e-6) -> Column:
 def to_int8(v: Column) -> Column:
     """Components in [-1, 1] to -128..127, cut towards zero like a C cast."""
     return F.transform(v, lambda x: ((x + 1.0) / F.lit(INT8_STEP) - 128.0).cast("int").cast("tinyint"))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)

@@ -13,7 +13,6 @@ from chatlake.session import durable
 
 MIN_DIGITS = 4
 GRAM = 3
-MAX_LIMIT = 500
 HAS_KINDS = {"photo": kinds.IMAGE, "video": kinds.VIDEO, "audio": kinds.AUDIO, "file": kinds.FILE}
 
 
@@ -191,8 +190,33 @@ def keep(candidates: DataFrame, resolved: Resolved) -> DataFrame:
     return rows.select(*candidates.columns)
 
 
+def matching(asked: DataFrame, resolved: Resolved, messages: DataFrame) -> DataFrame:
+    """(query_id, message columns) of all text messages that pass the filters of the queries ``asked(query_id)``.
+
+    Chats, people and own messages are found by equality joins. Queries for kinds only meet the few different
+    combinations of flags that messages have, and messages are found by their combination.
+    """
+    rows = messages.filter((F.col("kind") == kinds.TEXT) & ~F.col("unsent"))
+    columns = ["query_id", *rows.columns]
+    flags = resolved.flags.join(asked.select("query_id"), "query_id", "left_semi")
+    by_chat = flags.filter("has_chat").select("query_id").join(resolved.chats, "query_id").join(rows, "chat_id")
+    by_person = flags.filter("has_from AND NOT has_chat").select("query_id").join(resolved.people, "query_id").join(rows, "handle_id")
+    own = flags.filter("from_me_too AND NOT has_chat").select("query_id", F.lit(True).alias("from_me")).join(rows, "from_me")
+    combination = ["has_link", "kind_mask"]
+    kinds_only = flags.filter("NOT has_chat AND NOT has_from").select("query_id", "has")
+    found = [by_chat, by_person, own]
+    if "kind_mask" in rows.columns:
+        held = rows.select(*combination).distinct()  # two flags and a mask of five bits
+        wanted = kinds_only.join(F.broadcast(held), _has_condition()).select("query_id", *combination)
+        found.append(wanted.join(rows, combination))
+    all_ = found[0].select(*columns)
+    for more in found[1:]:
+        all_ = all_.unionByName(more.select(*columns))
+    return keep(all_, resolved).dropDuplicates(["query_id", "message_id"])
+
+
 def _newest(rows: DataFrame, limit: int) -> DataFrame:
-    return top_per_group(rows, ["query_id"], [F.desc("ts"), F.desc("message_id")], min(max(limit, 1), MAX_LIMIT))
+    return top_per_group(rows, ["query_id"], [F.desc("ts"), F.desc("message_id")], max(limit, 1))
 
 
 def filter_only(parsed: DataFrame, resolved: Resolved, messages: DataFrame, limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from chatlake.operators.insights import first_members
 from chatlake.plans.ordered import top_per_group
 
 RRF_K = 60.0
-MAX_LIMIT = 500
+LEAST_DEPTH = 300
 HIT_PEOPLE = 4
 SNIPPET_CHARS = 180
 SNIPPET_LEAD = 40
@@ -19,6 +19,11 @@ PREVIEW = 3
 MARK_ON, MARK_OFF = "\u0002", "\u0003"
 
 
+def depth(limit: int) -> int:
+    """How far down the lists are read for the best ``limit``: below it, an entry of two lists loses to any of the first ``limit`` of one."""
+    return max(LEAST_DEPTH, 2 * limit + int(RRF_K))
+
+
 def fuse(lists: dict[str, DataFrame], limit: int) -> DataFrame:
     """Reciprocal rank fusion of lists named ``strict``, ``relaxed`` and ``meaning``.
 
@@ -34,7 +39,7 @@ def fuse(lists: dict[str, DataFrame], limit: int) -> DataFrame:
         F.bool_or(~F.col("_m")).alias("keyword"),
     )
     origin = F.when(F.col("keyword") & F.col("meaning"), "both").when(F.col("meaning"), "meaning").otherwise("keyword")
-    top = top_per_group(fused, ["query_id"], [F.desc("score"), F.desc("message_id")], min(max(limit, 1), MAX_LIMIT))
+    top = top_per_group(fused, ["query_id"], [F.desc("score"), F.desc("message_id")], max(limit, 1))
     return top.select("query_id", "message_id", "rank", "score", origin.alias("matched_by"))
 
 

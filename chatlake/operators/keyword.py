@@ -4,8 +4,8 @@
 message's length, all worked out inside the message's row. A search never pairs queries with
 messages: distinct search terms are expanded against the vocabulary, joined to the postings
 by term, and shared by all queries that use them. All-words queries start from their rarest
-term. Hot terms are split by AQE's skew join, and the newest-first cap keeps that many rows
-per query and task before anything is shuffled by query.
+term. Hot terms are split by AQE's skew join. All matches are scored; the best of each query are
+kept per task before anything is shuffled by query.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from chatlake.session import durable, spread
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
-SCAN_CAP = 3000
-POOL = 300
 RELAX_BELOW = 20
 RECENCY_FLOOR = 0.75
 RECENCY_DAYS = 730.0
@@ -193,20 +191,17 @@ def ranked_list(
     scores: DataFrame,
     messages: DataFrame,
     resolved: filters.Resolved,
-    scan_cap: int | None = SCAN_CAP,
-    pool: int = POOL,
+    depth: int,
 ) -> DataFrame:
-    """(query_id, message_id, score, rank): filtered, newest ``scan_cap`` kept, blended, best ``pool`` ranked.
+    """(query_id, message_id, score, rank): filtered, all scored and blended, best ``depth`` ranked.
 
     Scores are rounded to 9 digits so that rank ties do not depend on the order of additions.
     """
     rows = scores.join(messages.filter(F.col("kind") == kinds.TEXT), "message_id")
     kept = filters.keep(rows, resolved).select("query_id", "message_id", "ts", "score")
-    if scan_cap is not None:
-        kept = top_per_group(kept, ["query_id"], [F.desc("message_id")], scan_cap, "_scan").drop("_scan")
     newest = messages.agg(F.max("ts").alias("t")).scalar()
     blended = kept.withColumn("score", F.round(blend_recency(F.col("score"), F.col("ts"), newest), 9))
-    return top_per_group(blended, ["query_id"], [F.desc("score"), F.desc("message_id")], pool).select(
+    return top_per_group(blended, ["query_id"], [F.desc("score"), F.desc("message_id")], depth).select(
         "query_id", "message_id", "score", "rank"
     )
 
@@ -222,20 +217,20 @@ def keyword_search(
     index: Index,
     messages: DataFrame,
     resolved: filters.Resolved,
-    scan_cap: int | None = SCAN_CAP,
-    pool: int = POOL,
+    depth: int,
     relax_below: int = RELAX_BELOW,
 ) -> KeywordLists:
-    """All-words list of every query, and an any-word list for those that found little."""
+    """All-words list of every query, and an any-word list for those with fewer than ``relax_below`` matches."""
+    depth = max(depth, relax_below)
     m = match(parsed, index)
-    strict = durable(ranked_list(strict_scores(m), messages, resolved, scan_cap, pool))
+    strict = durable(ranked_list(strict_scores(m), messages, resolved, depth))
     found = strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     few = (
         m.groups.filter("plan = 'strict'").select("query_id").distinct()
         .join(found, "query_id", "left")
-        .filter(F.coalesce("_n", F.lit(0)) < min(relax_below, pool))
+        .filter(F.coalesce("_n", F.lit(0)) < relax_below)
     )
-    any_word = ranked_list(relaxed_scores(m, few), messages, resolved, scan_cap, pool)
+    any_word = ranked_list(relaxed_scores(m, few), messages, resolved, depth)
     fresh = any_word.join(strict.select("query_id", "message_id"), ["query_id", "message_id"], "left_anti")
-    relaxed = durable(top_per_group(fresh.drop("rank"), ["query_id"], [F.desc("score"), F.desc("message_id")], pool))
+    relaxed = durable(top_per_group(fresh.drop("rank"), ["query_id"], [F.desc("score"), F.desc("message_id")], depth))
     return KeywordLists(strict, relaxed.select("query_id", "message_id", "score", "rank"))

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.functions import vectors as vector_functions
 from chatlake.operators import filters
 from chatlake.plans.ordered import top_per_group
 
 NEIGHBOURS = 60
-FILTERED_NEIGHBOURS = 480
 SLACK = 0.06
 DEFAULT_MAX_DISTANCE = 0.55
 GAP_MICROS = 45 * 60_000_000
@@ -24,17 +24,20 @@ DIGITS = 9
 ANCHOR_BYTES = 280
 
 
-def search_bounds(parsed: DataFrame) -> DataFrame:
+def narrowed() -> Column:
+    """Does a parsed search ask for people, chats or kinds."""
+    return (F.size("from_vals") > 0) | (F.size("chat_vals") > 0) | (F.size("has") > 0)
+
+
+def search_bounds(parsed: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """Neighbours to fetch per query and the start times they may have.
 
-    More are fetched where people, chats or kinds will drop candidates afterwards. A window
-    starting a few gaps before ``after`` can still hold matches.
+    A window starting a few gaps before ``after`` can still hold matches.
     """
-    narrowed = (F.size("from_vals") > 0) | (F.size("chat_vals") > 0) | (F.size("has") > 0)
     low, high = -(2**62), 2**62
     return parsed.select(
         "query_id",
-        F.when(narrowed, FILTERED_NEIGHBOURS).otherwise(NEIGHBOURS).alias("k"),
+        F.lit(k).alias("k"),
         F.coalesce(F.unix_micros("after_ts") - GAPS_BEFORE * GAP_MICROS, F.lit(low)).alias("lo"),
         F.coalesce(F.unix_micros("before_ts"), F.lit(high)).alias("hi"),
     )
@@ -99,7 +102,7 @@ def knn(
             "query_id", F.lit(k).alias("k"), F.lit(-(2**62)).alias("lo"), F.lit(2**62).alias("hi")
         )
     asked = query_vectors.select("query_id", F.col(column).cast("array<double>").alias("v")).join(bounds, "query_id")
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims"), F.max("k").alias("k")).first()
     schema = "query_id long, window_id long, distance double"
     if not size["n"]:
         empty = spark.createDataFrame([], schema)
@@ -122,10 +125,29 @@ def knn(
         )
         best = scanned.mapInPandas(_best_in_partition(held, "v", skip_self), schema)
         found = best if found is None else found.unionByName(best)
-    ranked = top_per_group(found, ["query_id"], [F.col("distance"), F.col("window_id")], int(FILTERED_NEIGHBOURS if k < FILTERED_NEIGHBOURS else k))
+    ranked = top_per_group(found, ["query_id"], [F.col("distance"), F.col("window_id")], int(size["k"]))
     return ranked.join(bounds.select("query_id", "k"), "query_id").filter("rank <= k").drop("k")
 
 
+def knn_among(
+    query_vectors: DataFrame, vectors: DataFrame, allowed: DataFrame, bounds: DataFrame, column: str = "v"
+) -> DataFrame:
+    """The same for queries that may only have the windows of ``allowed(query_id, window_id)``.
+
+    Filters come first: the distance is worked out for allowed pairs only, so no match is lost to nearer windows
+    that the filters would drop, and the work grows with what the filters keep.
+    """
+    start = F.unix_micros("start_ts") if "start_ts" in vectors.columns else F.lit(0).cast("long")
+    unit = lambda name: vector_functions.unit(F.col(name).cast("array<double>"))
+    asked = query_vectors.select("query_id", unit(column).alias("_a")).join(bounds, "query_id")
+    held = vectors.filter(F.col(column).isNotNull()).select("window_id", start.alias("_start"), unit(column).alias("_b"))
+    pairs = allowed.join(held, "window_id").join(asked, "query_id").filter("_start >= lo AND _start < hi")
+    product = F.aggregate(F.zip_with("_a", "_b", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    near = pairs.select("query_id", "window_id", F.round(1 - product, DIGITS).alias("distance"), "k")
+    w = Window.partitionBy("query_id").orderBy("distance", "window_id")
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= k").drop("k")
+
+
 def cut(neighbours: DataFrame, max_distance: float = DEFAULT_MAX_DISTANCE, slack: float = SLACK) -> DataFrame:
     """Neighbours no further than the model's limit and no more than ``slack`` behind the best one."""
     best = neighbours.groupBy("query_id").agg(F.min("distance").alias("_best"))
@@ -170,6 +192,6 @@ def anchors(
     ]
     standing = top_per_group(rows, ["query_id", "window_id", "window_rank"], order, 1, "_first")
     once = standing.groupBy("query_id", "message_id").agg(F.min("window_rank").alias("window_rank"))
-    return top_per_group(once, ["query_id"], [F.col("window_rank")], FILTERED_NEIGHBOURS).select(
-        "query_id", "message_id", "rank"
-    )
+    # at most one message per neighbour, so a query has few
+    order_of = Window.partitionBy("query_id").orderBy("window_rank")
+    return once.select("query_id", "message_id", F.row_number().over(order_of).cast("long").alias("rank"))

@@ -91,7 +91,7 @@ def _classify(pieces: Column, tz: str) -> Column:
     def said(x: Column) -> Column:
         return (
             F.when(x["role"] == "phrase", _unquote(x["piece"]))
-            .when(x["role"] == "excluded", F.substring(x["piece"], 2, 1_000_000))
+            .when(x["role"] == "excluded", F.substring(x["piece"], F.lit(2), F.length(x["piece"])))
             .when(x["role"] == "has", _has_word(x["value"]))
             .when(x["role"].isin("from", "chat"), x["value"])
             .when(x["head"] != "", F.concat(x["head"], F.lit(":"), x["raw"]))

@@ -7,10 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.plans.ordered import top_per_group
 
 TOP_CHATS = 20
-MAX_PAGE = 500
 
 # Size choices in decimal bytes.
 SIZE_BANDS = {"1 MB": 1_000_000, "10 MB": 10_000_000, "50 MB": 50_000_000, "100 MB": 100_000_000}
@@ -84,7 +82,7 @@ def listing(attachments: DataFrame, messages: DataFrame, f: AttachmentFilter) ->
     """One page of the matching attachments (top-k, no full sort)."""
     order = [F.desc("bytes"), F.desc("ts")] if f.sort == "size" else [F.desc("ts")]
     page = _selected(attachments, messages, f).orderBy(*order, F.desc("attachment_id"))
-    return page.offset(max(f.offset, 0)).limit(min(max(f.limit, 1), MAX_PAGE))
+    return page.offset(max(f.offset, 0)).limit(max(f.limit, 1))
 
 
 def listing_totals(attachments: DataFrame, messages: DataFrame, f: AttachmentFilter) -> DataFrame:
@@ -146,12 +144,6 @@ def cleanup_outcome(plan: DataFrame) -> DataFrame:
     )
 
 
-def mark_removed(removed: DataFrame, plan: DataFrame, target: Column, at: Column) -> DataFrame:
-    """The removed table after carrying out a plan; a repeated id keeps the new entry."""
-    done = plan.filter("reason IS NULL").select("attachment_id", target.alias("new_path"), at.alias("ts"))
-    return removed.join(done, "attachment_id", "left_anti").unionByName(done)
-
-
 def size_bands(attachments: DataFrame) -> DataFrame:
     """Attachments at or over each size choice, in one pass."""
     bands = F.array(
@@ -181,9 +173,3 @@ def look_up(ids: DataFrame, attachments: DataFrame) -> DataFrame:
     return ids.select("attachment_id").join(
         attachments.select("attachment_id", "path", "filename", "kind"), "attachment_id"
     )
-
-
-def biggest_per_chat(attachments: DataFrame, messages: DataFrame, k: int) -> DataFrame:
-    """The ``k`` largest attachments of every chat."""
-    rows = attachments.join(messages.select("message_id", "chat_id"), "message_id")
-    return top_per_group(rows, ["chat_id"], [F.desc("bytes"), F.desc("attachment_id")], k)

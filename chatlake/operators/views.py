@@ -10,7 +10,6 @@ from chatlake.plans.ordered import Ordered, top_per_group
 
 SEPARATOR_MINUTES = 60
 RUN_MINUTES = 15
-MAX_LIST = 500
 
 
 def chat_list(chats: DataFrame, messages: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -23,7 +23,6 @@ from chatlake.plans.ordered import Ordered, bounded_broadcast
 GAP_MINUTES = 45
 MAX_BYTES = 900
 MAX_MESSAGES = 16
-BODY_CHARS = 900
 
 
 def _micros(minutes: int) -> Column:
@@ -31,12 +30,10 @@ def _micros(minutes: int) -> Column:
 
 
 def lines(messages: DataFrame, handles: DataFrame) -> DataFrame:
-    """Rows that go into windows, rendered as ``who: body``."""
+    """Rows that go into windows, rendered as ``who: body`` with the whole body; a line over the byte cap is a window of its own."""
     people = handles.select("handle_id", F.coalesce("name", "address").alias("_who"))
     who = F.when(F.col("from_me"), F.lit("Me")).otherwise(F.coalesce("_who", F.lit("Them")))
-    body = F.when(F.col("text").isNotNull(), F.substring("text", 1, BODY_CHARS)).when(
-        F.col("attach_count") > 0, F.lit("[attachment]")
-    )
+    body = F.coalesce("text", F.when(F.col("attach_count") > 0, F.lit("[attachment]")))
     rows = messages.filter((F.col("kind") == kinds.TEXT) & ~F.col("unsent") & F.col("chat_id").isNotNull())
     rows = rows.filter(F.col("text").isNotNull() | (F.col("attach_count") > 0))
     return rows.join(people, "handle_id", "left").select(

@@ -58,11 +58,13 @@ def ranked_lists(
     model=None,
     keyword_only: bool = False,
     column: str = "q",
+    limit: int = 50,
 ) -> Lists:
-    """All ranked lists. ``column`` picks int8 (``q``) or full (``v``) vectors for the meaning list."""
+    """All ranked lists, deep enough for the best ``limit``. ``column`` picks int8 (``q``) or full (``v``) vectors for
+    the meaning list; only vectors of the model, of windows that still have messages, take part."""
     parsed = durable(querytable.parse(queries, tz))
     resolved = filters.resolve(parsed, corpus.handles, corpus.chats, corpus.members)
-    found = keyword.keyword_search(parsed, corpus.index, corpus.messages, resolved)
+    found = keyword.keyword_search(parsed, corpus.index, corpus.messages, resolved, fusion.depth(limit))
     lists = {"strict": found.strict, "relaxed": found.relaxed}
     if corpus.vectors is None or keyword_only:
         return Lists(lists, parsed, resolved)
@@ -70,7 +72,17 @@ def ranked_lists(
     asked = embed.embed_queries(parsed, model).join(resolved.flags.select("query_id"), "query_id", "left_semi")
     if column == "q":
         asked = asked.withColumn("q", vector_functions.to_int8(F.col("v")))
-    near = nearest.knn(asked, corpus.vectors, nearest.search_bounds(parsed), column=column)
+    vectors = corpus.vectors
+    if "model_id" in vectors.columns:
+        vectors = vectors.filter(F.col("model_id") == model.model_id)
+    vectors = vectors.join(corpus.message_windows.select("window_id").distinct(), "window_id", "left_semi")
+    bounds = nearest.search_bounds(parsed, max(nearest.NEIGHBOURS, limit))
+    narrow = durable(parsed.filter(nearest.narrowed()).select("query_id"))
+    near = nearest.knn(asked.join(narrow, "query_id", "left_anti"), vectors, bounds, column=column)
+    if not narrow.isEmpty():
+        passing = filters.matching(narrow, resolved, corpus.messages).select("query_id", "message_id")
+        allowed = passing.join(corpus.message_windows.select("window_id", "message_id"), "message_id").select("query_id", "window_id").distinct()
+        near = near.unionByName(nearest.knn_among(asked.join(narrow, "query_id", "left_semi"), vectors, allowed, bounds, column))
     near = durable(nearest.cut(near, model.max_distance))
     counts = found.strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     after = found.relaxed.join(counts, "query_id", "left").select(
@@ -83,7 +95,7 @@ def ranked_lists(
 
 def rank(queries: DataFrame, corpus: Corpus, limit: int = 50, **options) -> Results:
     """Ranked messages of every query. Without vectors the result is keyword-only."""
-    made = ranked_lists(queries, corpus, **options)
+    made = ranked_lists(queries, corpus, limit=limit, **options)
     fused = fusion.fuse(made.lists, limit)
     silent = made.parsed.filter(~querytable.has_text() & querytable.has_filters())
     if not silent.isEmpty():

@@ -33,8 +33,8 @@ REACTIONS = (
     "reaction_id long, target_guid string, part long, handle_id long, from_me boolean, emoji string, "
     "removed boolean, ts timestamp"
 )
-LIVE_REACTIONS = (
-    "target_guid string, part long, from_me boolean, handle_id long, emoji string, ts timestamp, reaction_id long"
+REACTION_STATE = (
+    "target_guid string, part long, from_me boolean, handle_id long, emoji string, ts timestamp, reaction_id long, removed boolean"
 )
 WINDOWS = (
     "window_id long, chat_id long, start_ts timestamp, end_ts timestamp, first_id long, last_id long, "

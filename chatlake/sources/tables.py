@@ -37,7 +37,7 @@ TABLES = {
     "members": schemas.MEMBERS,
     "messages": schemas.MESSAGES,
     "attachments": schemas.ATTACHMENTS,
-    "reactions": schemas.LIVE_REACTIONS,
+    "reactions": schemas.REACTION_STATE,
     "windows": schemas.WINDOWS,
     "vectors": schemas.VECTORS,
     "dirty": schemas.DIRTY,
