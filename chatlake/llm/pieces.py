@@ -10,23 +10,31 @@ import numpy as np
 #: A blank with no other white space beside it always starts a pre-token: white-space runs are the only pre-tokens that
 #: hold white space after their first character, and this blank is in none. What follows does not look back over it.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
+_ODD_AFTER, _ODD_BEFORE = re.compile(r" \s"), re.compile(r"[^\S ] ")
 _SIZE = 1 << 20
 
 
+def pieces(text: str) -> list[str]:
+    """The text cut at its safe blanks; all pieces but the first have lost the blank before them."""
+    if text[:1].isspace() or text[-1:].isspace() or _ODD_AFTER.search(text) or _ODD_BEFORE.search(text):
+        return _SAFE.split(text)
+    return text.split(" ")
+
+
 class PieceMemo:
-    """``encode_many`` encodes a list of strings, each to its ids as bytes. At most ``limit`` pieces are kept."""
+    """Encodes texts. ``encode_many`` encodes a list of strings, each to its ids as bytes; pieces are kept for later
+    texts, at most twice ``limit`` of them: when the newer half is full, the older half goes but for what was used since.
+    """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 150_000):
-        self.encode_many, self.limit, self.known = encode_many, limit, {}
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 250_000):
+        self.encode_many, self.limit, self.known, self.older = encode_many, limit, {}, {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
         held: list[list[str]] = []
         size = 0
         for text in texts:
-            # the first piece has no blank before it, all others have lost theirs
-            held.append(_SAFE.split(text) if _ODD.search(text) else text.split(" "))
+            held.append(pieces(text))
             size += len(text)
             if size > _SIZE:
                 out += self._flush(held)
@@ -34,15 +42,18 @@ class PieceMemo:
         return out + self._flush(held)
 
     def _flush(self, held: list[list[str]]) -> list[bytes]:
-        known = self.known
-        fresh = list({p for pieces in held for p in pieces[1:] if p not in known})
-        if len(known) + len(fresh) > self.limit:
-            known.clear()
-            fresh = list({p for pieces in held for p in pieces[1:]})
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        wanted = {p for row in held for p in row[1:]}
+        wanted.difference_update(known)
+        again = wanted & older.keys()
+        known.update((p, older[p]) for p in again)
+        fresh = list(wanted - again)
         known.update(zip(fresh, self.encode_many([" " + p for p in fresh]), strict=True))
-        heads = self.encode_many([pieces[0] for pieces in held])
+        heads = self.encode_many([row[0] for row in held])
         get = known.__getitem__
-        return [head + b"".join(map(get, pieces[1:])) for head, pieces in zip(heads, held, strict=True)]
+        return [head + b"".join(map(get, row[1:])) for head, row in zip(heads, held, strict=True)]
 
 
 def packed(ids: list[int]) -> bytes:
