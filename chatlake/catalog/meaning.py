@@ -138,20 +138,29 @@ def passages(d):
 
 
 LINES = "lines AS (SELECT chat_id, ts, message_id, who || ': ' || text AS line, title FROM messages WHERE text IS NOT NULL)"
-PASSAGES = f"""asked AS (SELECT item_id AS query_id, text FROM benchmark),
-qtok AS (SELECT query_id, unnest(t) AS tok, unnest(range(len(t))) AS i, len(t) AS n FROM (SELECT query_id, {s.sql_tokens('text')} AS t FROM asked)),
+ASKED = "asked AS (SELECT item_id AS query_id, text FROM benchmark)"
+EVERYTHING = "eligible AS (SELECT a.query_id, m.message_id, m.ts FROM asked a, messages m)"
+# Every fourth passage asks for a source, an author, links, or a time.
+SOME = """eligible AS (SELECT a.query_id, m.message_id, m.ts FROM asked a, messages m WHERE CASE a.query_id % 4
+  WHEN 0 THEN contains(m.title, 'src3') WHEN 1 THEN NOT m.from_me AND contains('author ' || m.lang, 'author fr')
+  WHEN 2 THEN m.has_link ELSE m.ts >= TIMESTAMP '2024-01-02' END)"""
+SOME_WINDOWS = """WHERE CASE a.query_id % 4 WHEN 3 THEN (SELECT start_ts FROM windows x WHERE x.first_id = w.first_id) >= TIMESTAMP '2024-01-01 21:00:00'
+  ELSE (a.query_id, w.first_id) IN (SELECT (e.query_id, f.first_id) FROM eligible e JOIN fold f ON f.message_id = e.message_id) END"""
+PASSAGES = f"""qtok AS (SELECT query_id, unnest(t) AS tok, unnest(range(len(t))) AS i, len(t) AS n FROM (SELECT query_id, {s.sql_tokens('text')} AS t FROM asked)),
 useful AS (SELECT query_id, tok, min(i) AS i, max(n) AS n FROM qtok WHERE length(tok) > 1 AND tok NOT IN ({s.quoted(text.STOPWORDS)}) GROUP BY 1, 2),
 groups AS (
   SELECT query_id, 'strict' AS plan, i AS grp, CASE WHEN length(tok) = 1 THEN 'exact' ELSE 'prefix' END AS mode, tok AS txt FROM qtok
   UNION ALL SELECT query_id, 'relaxed', i, 'prefix', tok FROM useful),
-excl AS (SELECT query_id, '' AS term FROM asked WHERE FALSE),
-eligible AS (SELECT a.query_id, m.message_id, m.ts FROM asked a, messages m)"""
-SEMANTIC = (
-    bow_sql("wvec", "windows", "first_id", "text")
-    + ",\n"
-    + bow_sql("qvec", "asked", "query_id", "text")
-    + f""",
-pairs AS (SELECT a.query_id, w.first_id, {distance_sql('a.q', 'w.q')} AS distance FROM qvec_q a, wvec_q w),
+excl AS (SELECT query_id, '' AS term FROM asked WHERE FALSE)"""
+
+
+def semantic_sql(some_windows: str = "") -> str:
+    return (
+        bow_sql("wvec", "windows", "first_id", "text")
+        + ",\n"
+        + bow_sql("qvec", "asked", "query_id", "text")
+        + f""",
+pairs AS (SELECT a.query_id, w.first_id, {distance_sql('a.q', 'w.q')} AS distance FROM qvec_q a, wvec_q w {some_windows}),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, first_id) AS window_rank FROM pairs QUALIFY window_rank <= 60),
 kept AS (SELECT * FROM near n WHERE distance <= least(0.9, (SELECT min(distance) FROM near b WHERE b.query_id = n.query_id) + 0.06)),
 kranks AS (SELECT query_id, message_id, rank FROM strict UNION ALL
@@ -159,7 +168,8 @@ kranks AS (SELECT query_id, message_id, rank FROM strict UNION ALL
 said AS (SELECT query_id, list_filter(regexp_extract_all(lower(text), '\\S+'), lambda w: length(w) >= 3) AS said FROM asked),
 inside AS (SELECT k.query_id, k.first_id, k.window_rank, m.message_id, m.ts, lower(m.text) AS body, r.rank AS krank,
     (SELECT count(*) FROM (SELECT unnest(q.said) AS w) WHERE contains(lower(m.text), w)) AS overlap
-  FROM kept k JOIN fold f ON f.first_id = k.first_id JOIN messages m ON m.message_id = f.message_id JOIN said q ON q.query_id = k.query_id
+  FROM kept k JOIN fold f ON f.first_id = k.first_id JOIN messages m ON m.message_id = f.message_id
+  JOIN eligible e ON e.query_id = k.query_id AND e.message_id = m.message_id JOIN said q ON q.query_id = k.query_id
   LEFT JOIN kranks r ON r.query_id = k.query_id AND r.message_id = m.message_id),
 standing AS (SELECT * FROM inside QUALIFY row_number() OVER (PARTITION BY query_id, first_id
   ORDER BY krank NULLS LAST, overlap DESC, least(strlen(body), 280) DESC, ts DESC, message_id DESC) = 1),
@@ -171,8 +181,11 @@ fused AS (SELECT query_id, message_id, round(sum(1.0 / (60.0 + rank)), 12) AS sc
 ranked AS (SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id DESC) AS rank, score,
     CASE WHEN keyword AND meaning THEN 'both' WHEN meaning THEN 'meaning' ELSE 'keyword' END AS matched_by
   FROM fused QUALIFY rank <= 50)"""
-)
-HYBRID = v.with_(v.DOCUMENT_MESSAGES, s.INDEX, PASSAGES, s.MATCH, LINES, window_ctes(45), SEMANTIC, recursive=True)
+    )
+
+
+HYBRID = v.with_(v.DOCUMENT_MESSAGES, s.INDEX, ASKED, PASSAGES, EVERYTHING, s.MATCH, LINES, window_ctes(45), semantic_sql(), recursive=True)
+FILTERED = v.with_(v.DOCUMENT_MESSAGES, s.INDEX, ASKED, PASSAGES, SOME, s.MATCH, LINES, window_ctes(45), semantic_sql(SOME_WINDOWS), recursive=True)
 
 
 def hybrid_corpus(d) -> plan.Corpus:
@@ -193,6 +206,16 @@ def hybrid_search(d):
     return ranked_passages(d).withColumn("score", F.round("score", 9))
 
 
+@query("hybrid_filtered", FILTERED + "SELECT query_id, message_id, rank, round(score, 9) AS score, matched_by FROM ranked")
+def hybrid_filtered(d):
+    """The same under filters by chat, person, kind and date, which come before the nearest windows are chosen."""
+    asked = d.table("benchmark")
+    prefixes = F.array(*map(F.lit, ("in:src3 ", 'from:"author fr" ', "has:link ", "after:2024-01-01 ")))
+    text_ = F.concat(F.get(prefixes, (asked.item_id % 4).cast("int")), "text")
+    ranked = plan.rank(asked.select(asked.item_id.alias("query_id"), text_.alias("text")), hybrid_corpus(d), 50).ranked
+    return ranked.withColumn("score", F.round("score", 9))
+
+
 @query(
     "hybrid_hits",
     HYBRID + """SELECT r.query_id, r.rank, r.message_id, m.chat_id, m.title AS chat_title,

@@ -78,11 +78,12 @@ def ranked_lists(
     vectors = vectors.join(corpus.message_windows.select("window_id").distinct(), "window_id", "left_semi")
     bounds = nearest.search_bounds(parsed, max(nearest.NEIGHBOURS, limit))
     narrow = durable(parsed.filter(nearest.narrowed()).select("query_id"))
-    near = nearest.knn(asked.join(narrow, "query_id", "left_anti"), vectors, bounds, column=column)
+    near = durable(nearest.knn(asked.join(narrow, "query_id", "left_anti"), vectors, bounds, column=column))
     if not narrow.isEmpty():
         passing = filters.matching(narrow, resolved, corpus.messages).select("query_id", "message_id")
         allowed = passing.join(corpus.message_windows.select("window_id", "message_id"), "message_id").select("query_id", "window_id").distinct()
-        near = near.unionByName(nearest.knn_among(asked.join(narrow, "query_id", "left_semi"), vectors, allowed, bounds, column))
+        among = nearest.knn_among(asked.join(narrow, "query_id", "left_semi"), vectors, allowed, bounds, column)
+        near = near.unionByName(durable(among))
     near = durable(nearest.cut(near, model.max_distance))
     counts = found.strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
     after = found.relaxed.join(counts, "query_id", "left").select(
