@@ -72,7 +72,7 @@ def phrases(row: list[int]) -> set[int]:
 
 
 def signature(text: str) -> np.ndarray | None:
-    """BINS numbers of 32 bits, None of an empty dictionary."""
+    """BINS numbers of 16 bits, None of an empty dictionary."""
     known = phrases(units(text))
     if not known:
         return None
@@ -84,7 +84,8 @@ def signature(text: str) -> np.ndarray | None:
     filled = np.flatnonzero((least < len(codes)) & (value >> np.uint64(58) == np.arange(BINS, dtype=np.uint64)))
     source = filled[np.searchsorted(filled, np.arange(BINS)) % len(filled)]  # an empty bin takes the next filled one
     away = ((source - np.arange(BINS)) % BINS).astype(np.uint64)
-    return ((value[source] >> np.uint64(26)) + away * np.uint64(0x9E3779B1)).astype(np.uint32)
+    # the least hash of many has zeros in front, so its bits are mixed again before they are cut
+    return (((value[source] ^ (value[source] >> np.uint64(31))) * np.uint64(_ODD) >> np.uint64(48)) + away * np.uint64(0x9E35)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
@@ -93,8 +94,8 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float((a == b).mean())
 
 
-def fingerprint(s: np.ndarray | None) -> str:
-    return "" if s is None else s.astype(">u4").tobytes().hex()
+def fingerprint(s: np.ndarray | None) -> bytes:
+    return b"" if s is None else s.astype(">u2").tobytes()
 
 
 def edited(text: str, following: str) -> str:
@@ -102,7 +103,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _BORDER = "part int, first_text string, last_id long, last_text string"
 
 
@@ -121,7 +122,7 @@ def _compare(doc_id: int | None, text: str, own: np.ndarray | None, following: s
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """_FIELDS of (doc_id, text): fingerprints, and likeness to the edited text and to the next document."""
+    """_FIELDS of (doc_id, text), fingerprints in hex: fingerprints, and likeness to the edited text and to the next document."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
@@ -158,7 +159,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
             rows = [_compare(d, t, signature(t), f, signature(f)) for d, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=final)
 
-    return walked.where("part is null").select(*names).union(open_.mapInArrow(close, _FIELDS))
+    whole = walked.where("part is null").select(*names).union(open_.mapInArrow(close, _FIELDS))
+    return whole.withColumns({name: F.lower(F.hex(name)) for name in ("fingerprint", "edited_fingerprint")})
 
 
 @query("op6_phrase_fingerprint")

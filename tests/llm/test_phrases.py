@@ -27,7 +27,7 @@ def expected(texts):
         following = rows[(k + 1) % len(rows)][1]
         e = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
         own, its, other = (phrases.signature(x) for x in (t, following, e))
-        fp = phrases.fingerprint
+        fp = lambda s: phrases.fingerprint(s).hex()
         out.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), fp(own), fp(other), phrases.likeness(own, other), phrases.likeness(own, its)))
     return sorted(out)
 
