@@ -9,7 +9,7 @@ from chatlake.sources.testdata import TestData
 
 REGISTRY: dict[str, tuple[Callable[[TestData], DataFrame], str | None]] = {}
 
-TOPICS = ("reports", "conversations", "ingestion", "search", "meaning")
+TOPICS = ("reports", "conversations", "ingestion", "landed", "search", "meaning")
 
 
 def query(name: str, sql: str | None = None):
