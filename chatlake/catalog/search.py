@@ -252,7 +252,48 @@ def search_keyword_only(d):
     return ranked.withColumn("score", F.round("score", 9))
 
 
-@query("search_snippets")
+def search_marks_sql() -> str:
+    """Words to mark for each of ``SEARCHES``, longest first, as a part of a pattern."""
+    import re
+
+    rows = []
+    for i, (said, _) in enumerate(SEARCHES):
+        said = re.sub(r'(from|in|with|after|before|during|has):("[^"]*"|\S+)', " ", said)
+        phrases = re.findall(r'"([^"]*)(?:"|$)', said)
+        rest = re.sub(r'"[^"]*(?:"|$)', " ", said).split()
+        words = [t for w in rest if not w.startswith("-") for t in re.findall(r"[^\W_]+", w.lower())]
+        content = [t for t in words if t not in text.STOPWORDS]
+        marks = list(dict.fromkeys((content or words) + [t for p in phrases for t in re.findall(r"[^\W_]+", p.lower())]))
+        if marks:
+            rows.append(f"({i}, '{'|'.join(sorted(marks, key=len, reverse=True))}')")
+    return f"marks(query_id, p) AS (VALUES {', '.join(rows)})"
+
+
+SNIPPETS = (
+    FILTER_ONLY
+    + ",\n"
+    + search_marks_sql()
+    + """,
+shown AS (SELECT query_id, message_id, rank, 'keyword' AS matched_by FROM (
+    SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id DESC) AS rank
+    FROM (SELECT query_id, message_id, 1.0 / (60.0 + rank) AS score FROM strict UNION ALL SELECT query_id, message_id, 1.0 / (60.0 + rank) FROM relaxed))
+  WHERE rank <= 20 UNION ALL SELECT query_id, message_id, rank, 'filter' FROM listed WHERE rank <= 20),
+s1 AS (SELECT s.*, m.title AS chat_title, CASE WHEN NOT m.from_me THEN 'Author ' || m.lang END AS sender, m.text AS t, k.p, length(m.text) AS n,
+    coalesce(length(regexp_extract(m.text, '(?is)^(|.*?[^\\p{L}\\p{N}])(' || k.p || ')', 1)), 0) AS spot
+  FROM shown s JOIN messages m ON m.message_id = s.message_id LEFT JOIN marks k ON k.query_id = s.query_id),
+s2 AS (SELECT *, CASE WHEN n <= 180 THEN 0 ELSE greatest(spot - 40, 0) END AS s FROM s1),
+s3 AS (SELECT *, length(regexp_extract(substring(t, s + 1, spot - s), '(?s)^(\\S*\\s)', 1)) AS skip FROM s2),
+s4 AS (SELECT *, CASE WHEN s = 0 THEN 0 WHEN regexp_matches(substring(t, s, 1), '\\s') THEN s WHEN skip = 0 THEN spot ELSE s + skip END AS start FROM s3),
+s5 AS (SELECT *, CASE WHEN p IS NULL THEN substring(t, start + 1) ELSE
+    regexp_replace(substring(t, start + 1), '(?i)(^|[^\\p{L}\\p{N}])(' || p || ')', '\\1' || chr(2) || '\\2' || chr(3), 'g') END AS marked FROM s4),
+s6 AS (SELECT *, regexp_extract(marked, '^(?:[\\x02\\x03]*[^\\x02\\x03]){0,180}', 0) AS w FROM s5)
+SELECT query_id, rank, message_id, chat_title, sender, matched_by, (CASE WHEN start > 0 THEN '…' ELSE '' END) || w
+    || (CASE WHEN length(w) - length(replace(w, chr(2), '')) > length(w) - length(replace(w, chr(3), '')) THEN chr(3) ELSE '' END)
+    || (CASE WHEN n > start + 180 THEN '…' ELSE '' END) AS snippet FROM s6"""
+)
+
+
+@query("search_snippets", SEARCH.rstrip() + ",\n" + SNIPPETS)
 def search_snippets(d):
     hits = plan.search(searches(d), corpus(d), 20)
     return hits.select("query_id", "rank", "message_id", "chat_title", "sender", "snippet", "matched_by")
