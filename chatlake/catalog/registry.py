@@ -5,6 +5,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatlake.session import plain_unions
 from chatlake.sources.testdata import TestData
 
 REGISTRY: dict[str, tuple[Callable[[TestData], DataFrame], str | None]] = {}
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times carry no zone
+            plain_unions(spark)
             return fn(TestData(spark, sf_dir))
 
         return run

@@ -34,8 +34,14 @@ def local_session(cores: str | int = "*", app: str = "chatlake", memory: str = "
     return builder.getOrCreate()
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions put partitions after each other: pairing them by key fails where the two sides were coalesced differently."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; a temporary one only in local mode."""
+    plain_unions(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
