@@ -45,7 +45,7 @@ class PieceMemo:
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        wanted = {p for row in held for p in row[1:]}
+        wanted = set().union(*held)
         wanted.difference_update(known)
         again = wanted & older.keys()
         known.update((p, older[p]) for p in again)
