@@ -39,7 +39,8 @@ SEED = 42
 FAN = 8
 CELL_ROWS = 200_000
 TASK_ROWS = 500_000
-CHUNK = 2048
+#: Pairs of a code and a node that a task holds at once.
+PAIRS = 500_000
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -116,8 +117,14 @@ class GrayIndex:
 
     def pairs(self, limit: int):
         """Yield (i, j) arrays, i < j: places of codes of one cell that differ in ``limit`` bits or fewer."""
-        for start in range(0, len(self.codes), CHUNK):
-            who = np.arange(start, min(start + CHUNK, len(self.codes)))
+        first = np.flatnonzero(np.concatenate([[True], self.cells[1:] != self.cells[:-1]]))
+        size = np.diff(np.append(first, len(self.cells)))
+        most = np.cumsum(np.repeat(size, size))  # a search meets its own cell's codes at most
+        start = 0
+        while start < len(self.codes):
+            stop = max(start + 1, int(np.searchsorted(most, (most[start - 1] if start else 0) + PAIRS, side="right")))
+            who = np.arange(start, stop)
+            start = stop
             node = np.searchsorted(self.roots, self.cells[who])
             seen = np.zeros(len(who), np.int64)
             for mask, value, child, end in reversed(self.levels):
