@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import documents, map_rows, pair, query
@@ -64,13 +64,14 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long) of (doc_id, text)."""
+    """(doc_id, fp long) of (doc_id, text); a column ``key`` is passed on."""
+    key = "key" in docs.columns
 
     def run(got: dict) -> dict:
         fp = np.array([fingerprint(t, words) for t in got["text"]], np.uint64).astype(np.int64)
-        return {"doc_id": got["doc_id"], "fp": fp}
+        return {"doc_id": got["doc_id"], "fp": fp} | ({"key": got["key"]} if key else {})
 
-    return map_rows(docs, run, "doc_id long, fp long")
+    return map_rows(docs, run, "doc_id long, fp long" + ", key long" * key)
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -193,14 +194,14 @@ def links(codes: DataFrame, limit: int = LIMIT, cell_rows: int = CELL_ROWS) -> D
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of (doc_id, text)."""
+    """(doc_id, fp, component_id, root) of every row of (doc_id, text), and its ``key``; components can share an id, not the root."""
     fps = durable(fingerprints(docs, words))
     codes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(codes.select("fp"), limit), "fp", "root")
     # only fingerprints that have a link are in `joined`; the others are components of their own
     named = codes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id", "root"), "fp").select(*fps.columns, "component_id", "root")
 
 
 @query("op3_simhash_near_dedup")
@@ -210,7 +211,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays, that with the smallest id; rows without id stay."""
-    found = near_duplicates(pair(docs))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each component of near-duplicates stays, of those with the smallest id; rows without id stay."""
+    whole = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    found = near_duplicates(pair(docs).withColumn("key", F.xxhash64("text")))
+    kept = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("key").alias("_key")).select(F.col("doc_id").alias("_id"), "_key")
+    rows = docs.join(kept, (docs["doc_id"].cast("long") == kept["_id"]) & (whole == kept["_key"]), "left_semi")
+    # one of the rows that share id and text
+    rest = F.xxhash64(F.lit(0), *[docs[c] for c in docs.columns if c not in ("doc_id", "text")])
+    place = max(docs.columns, key=len) + "_"  # no other column's name
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(docs["doc_id"].cast("long"), whole).orderBy(rest))).where(F.col(place) == 1)
+    return rows.select(*docs.columns).union(docs.where("doc_id is null"))

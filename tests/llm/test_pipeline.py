@@ -24,3 +24,14 @@ def test_stages(spark):
 def test_one_query_for_each_operator():
     names = [n for n in load()[0] if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_rows_that_share_an_id(spark):
+    line = "one long passage that every one of these rows has, word for word, and more"
+    rows = [(1, f"{line} first"), (2, f"zeta eta {line} second"), (2, f"theta iota {line} third"), (2, f"theta iota {line} third")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = suffixes.stage(spark, docs, "").collect()
+    assert sorted(r.text for r in left) == sorted([f"{line} first", "zeta eta second", "theta iota third", "theta iota third"])
+    assert all(r.n_chars == len(r.text) for r in left)
+    kept = sorted(r.text for r in simhash.stage(spark, docs, "").collect())
+    assert kept == sorted({t for _, t in rows})
