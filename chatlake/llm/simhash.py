@@ -211,7 +211,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates stays, of those with the smallest id; rows without id stay."""
+    """One row of each component of near-duplicates stays, of those with the smallest id; rows without id stay.
+
+    Near-duplicates are those of op3's contract; README has the share of copies found by similarity.
+    """
     whole = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     found = near_duplicates(pair(docs).withColumn("key", F.xxhash64("text")))
     kept = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("key").alias("_key")).select(F.col("doc_id").alias("_id"), "_key")
