@@ -4,7 +4,7 @@ from importlib import import_module
 
 from chatlake.llm.common import QUERIES, SQL
 
-MODULES = ("bpe", "warc", "simhash", "rendering", "licences", "phrases", "decontaminate", "quality", "suffixes", "tokenfiles")
+MODULES = ("bpe", "warc", "simhash", "rendering", "licences", "phrases", "decontaminate", "quality", "suffixes", "tokenfiles", "urlrules", "repair", "ranked")
 
 
 def load() -> tuple[dict, dict]:
