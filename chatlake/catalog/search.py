@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chatlake.catalog import views as v
 from chatlake.catalog.registry import query
 from chatlake.functions import text
-from chatlake.operators import filters, fusion, keyword, querytable
+from chatlake.operators import filters, keyword, querytable
 from chatlake.plans import search as plan
 from chatlake.session import durable, spread
 
@@ -144,8 +144,7 @@ capped AS (SELECT s.*, e.ts FROM scored s JOIN eligible e ON e.query_id = s.quer
 blended AS (SELECT query_id, plan, message_id,
     round(score * (0.75 + 0.25 * exp(-greatest(epoch_us((SELECT max(ts) FROM messages)) - epoch_us(ts), 0) / 86400000000.0 / 730.0)), 9) AS score
   FROM capped),
-pooled AS (SELECT *, row_number() OVER (PARTITION BY query_id, plan ORDER BY score DESC, message_id DESC) AS rank FROM blended
-  QUALIFY rank <= 300),
+pooled AS (SELECT *, row_number() OVER (PARTITION BY query_id, plan ORDER BY score DESC, message_id DESC) AS rank FROM blended),
 strict AS (SELECT query_id, message_id, score, rank FROM pooled WHERE plan = 'strict'),
 relaxed AS (SELECT query_id, message_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM pooled p
   WHERE plan = 'relaxed' AND (SELECT count(*) FROM strict s WHERE s.query_id = p.query_id) < 20
@@ -170,7 +169,7 @@ def keyword_lists(d):
     c = corpus(d)
     parsed = durable(querytable.parse(searches(d)))
     resolved = filters.resolve(parsed, c.handles, c.chats, c.members)
-    return keyword.keyword_search(parsed, c.index, c.messages, resolved, fusion.depth(50))
+    return keyword.keyword_search(parsed, c.index, c.messages, resolved, None)
 
 
 # --------------------------------------------------------------------- index

@@ -11,7 +11,6 @@ from chatlake.operators.insights import first_members
 from chatlake.plans.ordered import top_per_group
 
 RRF_K = 60.0
-LEAST_DEPTH = 300
 HIT_PEOPLE = 4
 SNIPPET_CHARS = 180
 SNIPPET_LEAD = 40
@@ -19,15 +18,22 @@ PREVIEW = 3
 MARK_ON, MARK_OFF = "\u0002", "\u0003"
 
 
-def depth(limit: int) -> int:
-    """How far down the lists are read for the best ``limit``: below it, an entry of two lists loses to any of the first ``limit`` of one."""
-    return max(LEAST_DEPTH, 2 * limit + int(RRF_K))
+def depth(limit: int, open_lists: int = 1) -> int:
+    """How far down lists have to be read for the best ``limit`` when the ranks of all entries of the other, wholly read
+    lists are known: the threshold of the unread rest.
+
+    An entry that is further down in ``open_lists`` lists, and in no other, has less than ``open_lists / (RRF_K + depth + 1)``;
+    the best ``limit`` of one list all have at least ``1 / (RRF_K + limit)``. All-words and any-word lists share no message,
+    so for them one list counts.
+    """
+    return max(limit, open_lists * (int(RRF_K) + limit) - int(RRF_K) - 1)
 
 
 def fuse(lists: dict[str, DataFrame], limit: int) -> DataFrame:
     """Reciprocal rank fusion of lists named ``strict``, ``relaxed`` and ``meaning``.
 
-    Adds the origin of each match. Ties go to the larger (newer) id.
+    Exact if the lists hold their first ``depth(limit)`` entries and all entries of the meaning list, with ranks in the whole
+    lists. Adds the origin of each match. Ties go to the larger (newer) id.
     """
     named = [
         df.select("query_id", "message_id", "rank", F.lit(name == "meaning").alias("_m")) for name, df in lists.items()

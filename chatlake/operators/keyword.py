@@ -3,9 +3,13 @@
 ``postings`` has one row per (term, message) with the term's count, its positions and the
 message's length, all worked out inside the message's row. A search never pairs queries with
 messages: distinct search terms are expanded against the vocabulary, joined to the postings
-by term, and shared by all queries that use them. All-words queries start from their rarest
-term. Hot terms are split by AQE's skew join. All matches are scored; the best of each query are
-kept per task before anything is shuffled by query.
+by term, and shared by all queries that use them. Hot terms are split by AQE's skew join.
+
+The best of each query are found by score bounds. Messages lie in blocks of ``BLOCK_IDS`` ids; of every search term and
+block the largest weight is known, so a query's score in a block is bounded by their weighted sum, times the recency of
+the block's newest message. The most promising blocks are scored first; blocks whose bound is below the worst score
+that still counts are left before their occurrences are joined. Nothing is lost: where fewer than the asked number
+match, every block is scored.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from chatlake.functions import kinds, text
 from chatlake.functions.arrays import run_lengths
 from chatlake.operators import filters, querytable
-from chatlake.plans.ordered import top_per_group
+from chatlake.plans.ordered import Ordered, top_per_group
 from chatlake.session import durable, spread
 
 K1, B = 1.2, 0.75
@@ -27,6 +31,9 @@ RELAX_BELOW = 20
 RECENCY_FLOOR = 0.75
 RECENCY_DAYS = 730.0
 DAY_MICROS = 86_400_000_000
+BLOCK_IDS = 128
+FIRST_BLOCKS = 16
+ROUNDING = 1e-8
 
 
 @dataclass(frozen=True)
@@ -115,14 +122,19 @@ def atom_hits(atoms: DataFrame, index: Index) -> DataFrame:
     return hits.select("atom", "message_id", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("weight"))
 
 
+def block_of(message_id: Column) -> Column:
+    return F.floor(message_id / BLOCK_IDS).cast("long")
+
+
 @dataclass(frozen=True)
 class Matches:
     """Everything the ranked lists need, computed once per distinct atom."""
 
     groups: DataFrame  # query_id, plan, group_no, atom, df, idf
-    hits: DataFrame  # atom, message_id, weight
+    hits: DataFrame  # atom, block, message_id, weight
     excluded: DataFrame  # query_id, message_id is decided by term
     index: Index
+    maxima: DataFrame  # atom, block, most: the largest weight
 
 
 def match(parsed: DataFrame, index: Index) -> Matches:
@@ -132,7 +144,7 @@ def match(parsed: DataFrame, index: Index) -> Matches:
     """
     terms = durable(querytable.strict_terms(parsed).unionByName(querytable.relaxed_terms(parsed)))
     atoms = terms.select("atom", "mode", "tokens").dropDuplicates(["atom"])
-    hits = durable(atom_hits(atoms, index))
+    hits = durable(atom_hits(atoms, index).withColumn("block", block_of(F.col("message_id"))))
     frequency = hits.groupBy("atom").agg(F.count(F.lit(1)).alias("df"))
     total = F.lit(index.stats.first()["n"])
     df = F.coalesce("df", F.lit(0))
@@ -140,7 +152,8 @@ def match(parsed: DataFrame, index: Index) -> Matches:
     groups = terms.join(frequency, "atom", "left").select(
         "query_id", "plan", "group_no", "atom", df.alias("df"), F.when(idf > 0, idf).otherwise(F.lit(MIN_IDF)).alias("idf")
     )
-    return Matches(durable(groups), hits, querytable.excluded_terms(parsed), index)
+    maxima = hits.groupBy("atom", "block").agg(F.max("weight").alias("most"))
+    return Matches(durable(groups), hits, querytable.excluded_terms(parsed), index, maxima)
 
 
 def _without_excluded(rows: DataFrame, m: Matches) -> DataFrame:
@@ -187,23 +200,108 @@ def blend_recency(score: Column, ts: Column, newest: Column) -> Column:
     return score * (RECENCY_FLOOR + (1 - RECENCY_FLOOR) * F.exp(-age / RECENCY_DAYS))
 
 
-def ranked_list(
-    scores: DataFrame,
-    messages: DataFrame,
-    resolved: filters.Resolved,
-    depth: int,
-) -> DataFrame:
-    """(query_id, message_id, score, rank): filtered, all scored and blended, best ``depth`` ranked.
+def _blended(scores: DataFrame, messages: DataFrame, resolved: filters.Resolved) -> DataFrame:
+    """(query_id, message_id, score) of the text messages that pass their query's filters, with recency.
 
     Scores are rounded to 9 digits so that rank ties do not depend on the order of additions.
     """
     rows = scores.join(messages.filter(F.col("kind") == kinds.TEXT), "message_id")
     kept = filters.keep(rows, resolved).select("query_id", "message_id", "ts", "score")
     newest = messages.agg(F.max("ts").alias("t")).scalar()
-    blended = kept.withColumn("score", F.round(blend_recency(F.col("score"), F.col("ts"), newest), 9))
-    return top_per_group(blended, ["query_id"], [F.desc("score"), F.desc("message_id")], depth).select(
-        "query_id", "message_id", "score", "rank"
+    return kept.select("query_id", "message_id", F.round(blend_recency(F.col("score"), F.col("ts"), newest), 9).alias("score"))
+
+
+def _all_ranked(rows: DataFrame) -> DataFrame:
+    """(query_id, message_id, score, rank) of scored rows of any number: a query may have a large share of them."""
+    keyed = durable(rows.select("query_id", "message_id", "score", (-F.col("score")).alias("_s"), (-F.col("message_id")).alias("_m")))
+    return Ordered(keyed, ["query_id"], ["_s", "_m"]).row_number(name="rank").select("query_id", "message_id", "score", "rank")
+
+
+def ranked_matches(scores: DataFrame, messages: DataFrame, resolved: filters.Resolved) -> DataFrame:
+    """All scored matches with their rank."""
+    return _all_ranked(_blended(scores, messages, resolved))
+
+
+def _groups(m: Matches, plan: str, queries: DataFrame | None) -> DataFrame:
+    groups = m.groups.filter(F.col("plan") == plan)
+    return groups if queries is None else groups.join(queries.select("query_id"), "query_id", "left_semi")
+
+
+def block_bounds(m: Matches, plan: str, messages: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, block, bound): what no message of the block can exceed; of the strict plan, blocks that hold every group."""
+    groups = _groups(m, plan, queries)
+    rows = groups.join(m.maxima, "atom").groupBy("query_id", "block").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("idf") * F.col("most")).alias("bound")
     )
+    if plan == "strict":
+        rows = rows.join(groups.groupBy("query_id").agg(F.count(F.lit(1)).alias("_groups")), "query_id").filter("_n = _groups")
+    newest = messages.filter(F.col("kind") == kinds.TEXT).groupBy(block_of(F.col("message_id")).alias("block")).agg(F.max("ts").alias("_ts"))
+    last = messages.agg(F.max("ts").alias("t")).scalar()
+    return rows.join(newest, "block").select("query_id", "block", blend_recency(F.col("bound"), F.col("_ts"), last).alias("bound"))
+
+
+def scores_in(m: Matches, plan: str, blocks: DataFrame) -> DataFrame:
+    """(query_id, message_id, score) of the matches in some blocks(query_id, block); other occurrences are not joined."""
+    groups = m.groups.filter(F.col("plan") == plan)
+    wanted = groups.join(blocks.select("query_id", "block"), "query_id").select("query_id", "atom", "idf", "block")
+    return _matched(wanted.join(m.hits.hint("merge"), ["atom", "block"]), groups, m, plan)
+
+
+def scores_of(m: Matches, plan: str, pairs: DataFrame) -> DataFrame:
+    """The same for given (query_id, message_id), looked up by equality."""
+    groups = m.groups.filter(F.col("plan") == plan)
+    wanted = groups.join(pairs.select("query_id", "message_id"), "query_id").select("query_id", "atom", "idf", "message_id")
+    return _matched(wanted.join(m.hits.hint("merge"), ["atom", "message_id"]), groups, m, plan)
+
+
+def _matched(rows: DataFrame, groups: DataFrame, m: Matches, plan: str) -> DataFrame:
+    scored = rows.groupBy("query_id", "message_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("idf") * F.col("weight")).alias("score")
+    )
+    if plan == "strict":
+        scored = scored.join(groups.groupBy("query_id").agg(F.count(F.lit(1)).alias("_groups")), "query_id").filter("_n = _groups")
+    return _without_excluded(scored.select("query_id", "message_id", "score"), m)
+
+
+def open_blocks(bounds: DataFrame, first: DataFrame, floors: DataFrame) -> DataFrame:
+    """Blocks not in ``first`` that may hold a score of at least their query's floor; all where it has none."""
+    rest = bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti")
+    return rest.join(floors, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") + ROUNDING >= F.col("floor")))
+
+
+def best_matches(
+    m: Matches,
+    plan: str,
+    messages: DataFrame,
+    resolved: filters.Resolved,
+    depth: int,
+    queries: DataFrame | None = None,
+    looked_up: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, message_id, score, rank): at least the best ``depth`` of each query, and every match among ``looked_up``
+    (query_id, message_id), however far down. All ranks are those of the whole list.
+
+    A rank is the number of better matches, so what has to be scored is everything down to the floor: the worst of the
+    best ``depth`` or of the looked-up matches.
+    """
+    bounds = durable(block_bounds(m, plan, messages, queries))
+    first = top_per_group(bounds, ["query_id"], [F.desc("bound"), F.col("block")], FIRST_BLOCKS).select("query_id", "block")
+    one = durable(_blended(scores_in(m, plan, first), messages, resolved))
+    best = top_per_group(one, ["query_id"], [F.desc("score"), F.desc("message_id")], depth)
+    floors = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("floor")).filter(F.col("_n") >= depth)
+    floors = floors.select("query_id", "floor")
+    if looked_up is not None:
+        if queries is not None:
+            looked_up = looked_up.join(queries.select("query_id"), "query_id", "left_semi")
+        least = _blended(scores_of(m, plan, looked_up), messages, resolved).groupBy("query_id").agg(F.min("score").alias("_least"))
+        floors = floors.join(least, "query_id", "left").select("query_id", F.least("floor", "_least").alias("floor"))
+    floors = durable(floors)
+    two = _blended(scores_in(m, plan, open_blocks(bounds, first, floors)), messages, resolved)
+    rows = one.unionByName(two).join(floors, "query_id", "left").filter(F.col("floor").isNull() | (F.col("score") >= F.col("floor")))
+    if looked_up is None:
+        top = top_per_group(rows, ["query_id"], [F.desc("score"), F.desc("message_id")], depth)
+        return durable(top.select("query_id", "message_id", "score", "rank"))
+    return durable(_all_ranked(rows))
 
 
 @dataclass(frozen=True)
@@ -212,25 +310,39 @@ class KeywordLists:
     relaxed: DataFrame
 
 
+def few_matches(m: Matches, strict: DataFrame, relax_below: int) -> DataFrame:
+    """Queries with fewer than ``relax_below`` all-words matches."""
+    found = strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    asked = m.groups.filter("plan = 'strict'").select("query_id").distinct().join(found, "query_id", "left")
+    return asked.filter(F.coalesce("_n", F.lit(0)) < relax_below).select("query_id")
+
+
 def keyword_search(
     parsed: DataFrame,
     index: Index,
     messages: DataFrame,
     resolved: filters.Resolved,
-    depth: int,
+    depth: int | None,
     relax_below: int = RELAX_BELOW,
+    looked_up: DataFrame | None = None,
 ) -> KeywordLists:
-    """All-words list of every query, and an any-word list for those with fewer than ``relax_below`` matches."""
-    depth = max(depth, relax_below)
+    """All-words list of every query, and an any-word list for those with fewer than ``relax_below`` matches.
+
+    The best ``depth`` of each list (None: whole lists), and what of ``looked_up`` is in it, with ranks in the whole list.
+    """
     m = match(parsed, index)
-    strict = durable(ranked_list(strict_scores(m), messages, resolved, depth))
-    found = strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
-    few = (
-        m.groups.filter("plan = 'strict'").select("query_id").distinct()
-        .join(found, "query_id", "left")
-        .filter(F.coalesce("_n", F.lit(0)) < relax_below)
-    )
-    any_word = ranked_list(relaxed_scores(m, few), messages, resolved, depth)
-    fresh = any_word.join(strict.select("query_id", "message_id"), ["query_id", "message_id"], "left_anti")
-    relaxed = durable(top_per_group(fresh.drop("rank"), ["query_id"], [F.desc("score"), F.desc("message_id")], depth))
-    return KeywordLists(strict, relaxed.select("query_id", "message_id", "score", "rank"))
+    if depth is None:
+        strict = durable(ranked_matches(strict_scores(m), messages, resolved))
+        few = durable(few_matches(m, strict, relax_below))
+        any_word = ranked_matches(relaxed_scores(m, few), messages, resolved)
+    else:
+        strict = best_matches(m, "strict", messages, resolved, max(depth, relax_below, 1), None, looked_up)
+        few = durable(few_matches(m, strict, relax_below))
+        # the list proper is without the all-words matches, of which there are fewer than ``relax_below``
+        any_word = best_matches(m, "relaxed", messages, resolved, max(depth, 1) + relax_below, few, looked_up)
+    fresh = any_word.join(strict.select("query_id", "message_id", F.col("rank").alias("_strict")), ["query_id", "message_id"], "left")
+    taken = fresh.filter("_strict IS NOT NULL").groupBy("query_id").agg(F.sort_array(F.collect_list("rank")).alias("_taken"))
+    rest = fresh.filter("_strict IS NULL").join(taken, "query_id", "left")  # lists of fewer than ``relax_below`` ranks
+    before = F.size(F.filter(F.coalesce("_taken", F.array().cast("array<bigint>")), lambda r: r < F.col("rank")))
+    relaxed = rest.select("query_id", "message_id", "score", (F.col("rank") - before).cast("long").alias("rank"))
+    return KeywordLists(strict, durable(relaxed))

@@ -51,24 +51,9 @@ class Results:
     parsed: DataFrame
 
 
-def ranked_lists(
-    queries: DataFrame,
-    corpus: Corpus,
-    tz: str = "UTC",
-    model=None,
-    keyword_only: bool = False,
-    column: str = "q",
-    limit: int = 50,
-) -> Lists:
-    """All ranked lists, deep enough for the best ``limit``. ``column`` picks int8 (``q``) or full (``v``) vectors for
-    the meaning list; only vectors of the model, of windows that still have messages, take part."""
-    parsed = durable(querytable.parse(queries, tz))
-    resolved = filters.resolve(parsed, corpus.handles, corpus.chats, corpus.members)
-    found = keyword.keyword_search(parsed, corpus.index, corpus.messages, resolved, fusion.depth(limit))
-    lists = {"strict": found.strict, "relaxed": found.relaxed}
-    if corpus.vectors is None or keyword_only:
-        return Lists(lists, parsed, resolved)
-    model = model or embed.BagOfWords()
+def near_windows(parsed: DataFrame, corpus: Corpus, resolved: filters.Resolved, model, column: str, limit: int) -> DataFrame:
+    """The nearest windows of every query that can have results; only vectors of the model, of windows that still have
+    messages, take part."""
     asked = embed.embed_queries(parsed, model).join(resolved.flags.select("query_id"), "query_id", "left_semi")
     if column == "q":
         asked = asked.withColumn("q", vector_functions.to_int8(F.col("v")))
@@ -84,8 +69,38 @@ def ranked_lists(
         allowed = passing.join(corpus.message_windows.select("window_id", "message_id"), "message_id").select("query_id", "window_id").distinct()
         among = nearest.knn_among(asked.join(narrow, "query_id", "left_semi"), vectors, allowed, bounds, column)
         near = near.unionByName(durable(among))
-    near = durable(nearest.cut(near, model.max_distance))
-    counts = found.strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    return durable(nearest.cut(near, model.max_distance))
+
+
+def ranked_lists(
+    queries: DataFrame,
+    corpus: Corpus,
+    tz: str = "UTC",
+    model=None,
+    keyword_only: bool = False,
+    column: str = "q",
+    limit: int = 50,
+    relax_below: int = keyword.RELAX_BELOW,
+) -> Lists:
+    """All ranked lists, as far as the best ``limit`` need them. ``column`` picks int8 (``q``) or full (``v``) vectors for
+    the meaning list; ``relax_below`` is the number of all-words matches below which any-word matches are added.
+
+    The messages of near windows are looked up in the keyword lists, so their ranks there are known however far
+    down they are; of the rest of those lists the best ``limit`` suffice.
+    """
+    parsed = durable(querytable.parse(queries, tz))
+    resolved = filters.resolve(parsed, corpus.handles, corpus.chats, corpus.members)
+    semantic = corpus.vectors is not None and not keyword_only
+    looked_up = None
+    if semantic:
+        near = near_windows(parsed, corpus, resolved, model or embed.BagOfWords(), column, limit)
+        windows_of = corpus.message_windows.select("window_id", "message_id")
+        looked_up = durable(near.join(windows_of, "window_id").select("query_id", "message_id").distinct())
+    found = keyword.keyword_search(parsed, corpus.index, corpus.messages, resolved, fusion.depth(limit), relax_below, looked_up)
+    lists = {"strict": found.strict, "relaxed": found.relaxed}
+    if not semantic:
+        return Lists(lists, parsed, resolved)
+    counts = found.strict.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))  # where there is a second list, the first is whole
     after = found.relaxed.join(counts, "query_id", "left").select(
         "query_id", "message_id", (F.col("rank") + F.coalesce("_n", F.lit(0))).alias("rank")
     )
