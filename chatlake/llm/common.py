@@ -64,6 +64,13 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
+def small_transfers(spark: SparkSession) -> None:
+    """Rows go to Python workers in Arrow batches of at most 4 MB, so that neither side holds many long texts or blocks at
+    once. Results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files of a table from ``durable`` once what was made of it is written itself."""
     spark = df.sparkSession

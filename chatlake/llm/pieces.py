@@ -1,4 +1,7 @@
-"""Encoding of texts piece by piece, each different piece once per Python worker."""
+"""Encoding of texts piece by piece, each different piece once per Python worker.
+
+A piece is what stands between two safe blanks; no pre-token reaches over one.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,8 @@ import re
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A blank with no other white space beside it always starts a pre-token: white-space runs are the only pre-tokens that
 #: hold white space after their first character, and this blank is in none. What follows does not look back over it.
@@ -14,46 +19,76 @@ _ODD_AFTER, _ODD_BEFORE = re.compile(r" \s"), re.compile(r"[^\S ] ")
 _SIZE = 1 << 20
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at its safe blanks; all pieces but the first have lost the blank before them."""
-    if text[:1].isspace() or text[-1:].isspace() or _ODD_AFTER.search(text) or _ODD_BEFORE.search(text):
-        return _SAFE.split(text)
-    return text.split(" ")
+def regular(text: str) -> bool:
+    """Are all of the text's blanks safe."""
+    return not (text[:1].isspace() or text[-1:].isspace() or _ODD_AFTER.search(text) or _ODD_BEFORE.search(text))
 
 
 class PieceMemo:
-    """Encodes texts. ``encode_many`` encodes a list of strings, each to its ids as bytes; pieces are kept for later
-    texts, at most twice ``limit`` of them: when the newer half is full, the older half goes but for what was used since.
+    """Encodes texts. ``encode_many`` encodes a list of strings, each to its ids as bytes, ``width`` of them an id.
+
+    The pieces of about a megabyte of texts are numbered by Arrow, so only different ones are looked up; the ids of a text
+    are gathered by number. Pieces are kept for later texts, at most twice ``limit`` of them: when the newer half is full,
+    the older half goes but for what was used since. Null texts are not allowed; an empty text is one empty piece.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 250_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 250_000, width: int = 4):
         self.encode_many, self.limit, self.known, self.older = encode_many, limit, {}, {}
+        self.kind = np.dtype(f"<u{width}")
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
-        held: list[list[str]] = []
+        held: list[str] = []
         size = 0
         for text in texts:
-            held.append(pieces(text))
+            held.append(text)
             size += len(text)
             if size > _SIZE:
                 out += self._flush(held)
                 held, size = [], 0
-        return out + self._flush(held)
+        return out + self._flush(held) if held else out
+
+    def _flush(self, held: list[str]) -> list[bytes]:
+        plain = [k for k, text in enumerate(held) if regular(text)]
+        odd = sorted(set(range(len(held))).difference(plain))
+        lists = pc.split_pattern(pa.array([held[k] for k in plain], pa.string()), " ")
+        if odd:
+            lists = pa.concat_arrays([lists, pa.array([_SAFE.split(held[k]) for k in odd], lists.type)])
+        edges = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        first = number[edges[:-1]]
+        heads = self.encode_many([words[k] for k in first.tolist()])
+        inner = np.ones(len(number), bool)
+        inner[edges[:-1]] = False
+        used = np.flatnonzero(np.bincount(number[inner], minlength=len(words)))
+        ids, size = self._look_up([words[k] for k in used.tolist()])
+        length, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        length[used], start[used] = size, np.cumsum(size) - size
+        each = np.where(inner, length[number], 0)
+        ends = np.cumsum(each)
+        at = np.repeat(start[number] - (ends - each), each) + np.arange(int(ends[-1]))
+        raw = ids[at].tobytes()
+        cuts = (np.concatenate([[0], ends])[edges] * self.kind.itemsize).tolist()
+        out: list[bytes] = [b""] * len(held)
+        for k, head, a, z in zip(plain + odd, heads, cuts[:-1], cuts[1:], strict=True):
+            out[k] = head + raw[a:z]
+        return out
 
-    def _flush(self, held: list[list[str]]) -> list[bytes]:
+    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, each with the blank before it, one after the other, and their numbers."""
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        wanted = set().union(*held)
+        wanted = set(words)
         wanted.difference_update(known)
         again = wanted & older.keys()
         known.update((p, older[p]) for p in again)
         fresh = list(wanted - again)
         known.update(zip(fresh, self.encode_many([" " + p for p in fresh]), strict=True))
-        heads = self.encode_many([row[0] for row in held])
-        get = known.__getitem__
-        return [head + b"".join(map(get, row[1:])) for head, row in zip(heads, held, strict=True)]
+        found = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        return np.frombuffer(b"".join(found), self.kind), size
 
 
 def packed(ids: list[int]) -> bytes:

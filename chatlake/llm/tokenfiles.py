@@ -68,7 +68,7 @@ def coder(path: str) -> tuple[PieceMemo, np.dtype]:
                 out[k] = raw[a:z]
         return [encode(t).tobytes() if x is None else x for t, x in zip(texts, out, strict=True)]
 
-    return PieceMemo(many, limit=450_000), kind
+    return PieceMemo(many, limit=300_000, width=kind.itemsize), kind
 
 
 # ---------------------------------------------------------------- the format

@@ -9,7 +9,7 @@ makes lost tasks harmless; its row separator is a zero byte, which gzip takes fo
 Merging. Reading an archive gives its run, cut at the bounds of key ranges. A task gets the parts of all runs that
 fall in one range and merges them by a loser tree; ranges follow each other, so the captures of all archives are in one
 global order by URL key and time. Bounds are whole keys (URL key, time, id), so a URL with a third of all
-captures is spread over ranges; they come from at most ``SAMPLE`` keys per range and ``MAX_RANGES`` ranges.
+captures is spread over ranges; they come from at most ``SAMPLE`` keys per range.
 
 Cases: null html is an empty payload; null URLs have an empty key; pages without a time get one from their id; rows that
 share the largest id of equal payloads are all responses; rows with null id are responses and are never referred
@@ -36,8 +36,7 @@ from chatlake.session import ensure_checkpoint_dir
 
 MIN_SHARED = 1000
 RANGE_ROWS = 50_000
-MAX_RANGES = 4096
-SAMPLE = 32
+SAMPLE = 16
 LEVEL = 4
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 
@@ -64,11 +63,13 @@ def captures(pages: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
         pages["url"].cast("string").alias("url"),
         F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    hashed = rows.where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_shared)).select("page_id", F.sha1("payload").alias("digest"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    hashed = rows.where(F.col("page_id").isNotNull() & (F.octet_length("payload") >= min_shared)).select("page_id", "digest")
     shared = hashed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    # ids only; the payloads meet their target by id, which spreads equal payloads
-    again = hashed.join(shared, "digest").where("page_id <> refers_to").groupBy("page_id").agg(F.max("refers_to").alias("refers_to"))
-    return rows.join(again, "page_id", "left").select(
+    # ids and digests only; the payloads meet their target by both, which spreads equal payloads and keeps apart different
+    # payloads of one id
+    again = hashed.join(shared, "digest").where("page_id <> refers_to").groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to"))
+    return rows.join(again, ["page_id", "digest"], "left").select(
         url_key(F.col("url")).alias("urlkey"), captured(F.col("page_id")).alias("captured"), "page_id", "url", "payload", "refers_to"
     )
 
@@ -193,7 +194,7 @@ class LoserTree:
 
 def bounds(pages: DataFrame) -> list[tuple]:
     """Keys that cut the captures into ranges of about RANGE_ROWS."""
-    ranges = min(MAX_RANGES, -(-pages.count() // RANGE_ROWS))
+    ranges = -(-pages.count() // RANGE_ROWS)
     if ranges < 2:
         return []
     key = pages.select(url_key(pages["url"]).alias("urlkey"), captured(pages["page_id"]).alias("captured"), pages["page_id"].cast("long").alias("page_id"))
@@ -241,4 +242,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     write(pages, folder)
-    return read(spark, folder, bounds(pages))
+    found = read(spark, folder, bounds(pages))
+    first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return found.select(*first, *(c for c in found.columns if c not in first))

@@ -43,6 +43,35 @@ def test_records_and_index(spark, tmp_path, monkeypatch):
     assert gzip.decompress(raw[one.offset : one.offset + one.length]).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
 
 
+def test_revisits_against_grouping_by_digest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    other = BIG.replace("equal", "other")
+    rng = random.Random(2)
+    rows = [(7, "A"), (9, "A"), (7, "B"), (7, "small"), (3, "B"), (3, "B"), (None, "B"), (None, "A"), (4, None), (9, "A"), (5, "A")]
+    rows += [(rng.randrange(40), rng.choice("ABC")) for _ in range(60)]
+    body = {"A": BIG, "B": other, "C": "é" * 499, "small": "small", None: None}
+    rows = [(i, f"http://h{k % 5}.org/{k}", body[h]) for k, (i, h) in enumerate(rows)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    warc.write(pages, f"{tmp_path}/w")
+    found = warc.read(spark, f"{tmp_path}/w", warc.bounds(pages))
+    got = sorted((str(r.page_id), r.payload_digest, r.payload_bytes, r.record_type, str(r.refers_to)) for r in found.collect())
+    largest = {}
+    for i, _, h in rows:
+        if i is not None and len((h or "").encode()) >= 1000:
+            largest[h] = max(i, largest.get(h, i))
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        target = largest.get(h) if i is not None else None
+        again = target is not None and target != i
+        want.append((str(i), hashlib.sha1(raw).hexdigest(), len(raw), "revisit" if again else "response", str(target if again else None)))
+    assert got == sorted(want)
+    payloads = set()
+    for path in {r.archive for r in found.collect()}:
+        payloads |= {m.split(b"\r\n\r\n", 1)[1].removesuffix(b"\r\n\r\n") for m in gzip.decompress(open(path.removeprefix("file:"), "rb").read()[:-1]).split(b"WARC/1.1\r\n") if m}
+    assert {(h or "").encode() for _, _, h in rows} <= payloads  # nothing is lost
+
+
 def test_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(none, f"{tmp_path}/none")
