@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from chatlake.llm import bpe, decontaminate, quality, simhash, suffixes
+from chatlake.llm.common import small_transfers
 from chatlake.session import ensure_checkpoint_dir
 
 STAGES = [
@@ -22,16 +23,20 @@ STAGES = [
     ("token_ids", bpe.stage),
 ]
 
+#: Bytes of a row group of a written stage; a task holds one while it writes.
+ROW_GROUP = 16 << 20
+
 ORACLE_SQL = None  # no stage can be expressed in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, through written tables in the shared folder."""
     ensure_checkpoint_dir(spark)
+    small_transfers(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(path)
         docs = spark.read.parquet(path)
     return docs
