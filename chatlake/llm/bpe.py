@@ -48,7 +48,7 @@ def ranks(path: str) -> dict[bytes, int]:
 @lru_cache(maxsize=4)
 def memo(path: str, pattern: str) -> PieceMemo:
     coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
-    return PieceMemo(lambda texts: [packed(coder.encode_ordinary(t)) for t in texts], limit=60_000)
+    return PieceMemo(lambda texts: [packed(coder.encode_ordinary(t)) for t in texts], limit=200_000)
 
 
 @lru_cache(maxsize=4)

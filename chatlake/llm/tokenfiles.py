@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import documents, pair, query
-from chatlake.llm.pieces import PieceMemo
+from chatlake.llm.pieces import PieceMemo, regular
 from chatlake.session import durable, ensure_checkpoint_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,23 +52,30 @@ def coder(path: str) -> tuple[PieceMemo, np.dtype]:
     blank = np.zeros(known.get_vocab_size(), bool)
     blank[[i for token, i in known.get_vocab().items() if token.startswith("\u0120")]] = True  # the sign for a blank
 
-    def encode(text: str) -> np.ndarray:
-        return np.array(known.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, kind) for x in known.encode_batch_fast(texts, add_special_tokens=False)]
 
     def many(texts: list[str]) -> list[bytes]:
-        """One call for all texts that are a blank and a word: in their join, each starts where a token starts with a blank."""
-        out: list[bytes | None] = [None] * len(texts)
-        words = [k for k, t in enumerate(texts) if t[:1] == " " and t.rfind(" ") == 0 and len(t) > 1 and not t[1].isspace() and not t[-1].isspace()]
-        if words:
-            ids = encode("".join(texts[k] for k in words))
-            raw, edges = ids.tobytes(), np.append(np.flatnonzero(blank[ids]), len(ids)) * kind.itemsize
-            if len(edges) != len(words) + 1:
-                raise ValueError("tokens do not follow the words")
-            for k, a, z in zip(words, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                out[k] = raw[a:z]
-        return [encode(t).tobytes() if x is None else x for t, x in zip(texts, out, strict=True)]
-
-    return PieceMemo(many, limit=300_000, width=kind.itemsize), kind
+        return [ids.tobytes() for ids in encode(texts)]
+
+    def words(texts: list[str]) -> list[bytes]:
+        """One call for all words: in their join each starts where a token starts with a blank. Those that hold white space go one by one."""
+        if not texts:
+            return []
+        joined = " ".join(texts)
+        if joined.count(" ") != len(texts) - 1 or "" in texts or not regular(joined):
+            plain = [k for k, t in enumerate(texts) if t and t.split() == [t]]
+            out = dict(zip(plain, words([texts[k] for k in plain]), strict=True)) if len(plain) < len(texts) else {}
+            other = [k for k in range(len(texts)) if k not in out]
+            out.update(zip(other, many([" " + texts[k] for k in other]), strict=True))
+            return [out[k] for k in range(len(texts))]
+        ids = encode([" " + joined])[0]
+        raw, edges = ids.tobytes(), np.append(np.flatnonzero(blank[ids]), len(ids)) * kind.itemsize
+        if len(edges) != len(texts) + 1:
+            raise ValueError("tokens do not follow the words")
+        return [raw[a:z] for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+    return PieceMemo(many, limit=600_000, width=kind.itemsize, encode_words=words), kind
 
 
 # ---------------------------------------------------------------- the format
@@ -140,8 +147,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, length:
         closing = np.array([end], kind).tobytes()
         doc_ids, parts = [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 doc_ids += part.column(0).to_pylist()
                 parts += [x + closing for x in memo.encode(part.column(1).to_pylist())]
         if parts:

@@ -49,3 +49,13 @@ def test_query(spark, folder, texts):
 @given(st.lists(st.text(alphabet="ab 1'\n\tl.,é\x1c ", max_size=40), max_size=5))
 def test_pieces(some):
     assert bpe.memo(PATH, public_tokenizers.PATTERN).encode(some) == [ids(t) for t in some]
+
+
+def test_pieces_that_are_forgotten_are_encoded_again(texts):
+    some = [f"word{k} w{k % 7} the, end.\n\n x" for k in range(300)] + ["", " ", "a", " lead", "trail ", "a  b", "tab\t x"] + [t or "" for _, t in texts]
+    coder = bpe.memo(PATH, public_tokenizers.PATTERN)
+    small = bpe.PieceMemo(coder.encode_many, limit=10)
+    for at in range(0, len(some), 5):
+        part = some[at : at + 5]
+        assert small.encode(part) == coder.encode(part) == [ids(t) for t in part]
+    assert len(small.words) <= 10
