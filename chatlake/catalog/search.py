@@ -159,7 +159,7 @@ def documents(d):
 
 
 def corpus(d) -> plan.Corpus:
-    messages = documents(d)
+    messages = durable(documents(d))  # a stored table, as a history has it
     return plan.Corpus(
         messages, d.document_handles(), d.document_chats(), d.document_members(), keyword.build_index(messages)
     )

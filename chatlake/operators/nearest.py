@@ -1,25 +1,39 @@
-"""Exact nearest windows by cosine distance, and the message that stands for each window."""
+"""Exact nearest windows by cosine distance, and the message that stands for each window.
+
+Vectors are put into blocks of bounded size near one of ``PIVOTS`` pivot vectors, ordered by their distance to it, and
+every block knows the least and largest distance of its vectors to each pivot. Queries are put into blocks likewise. By the
+triangle inequality no window of one block is nearer to a query of another than the gap between their distances to any
+pivot. Every block of queries first meets the ``FIRST_BLOCKS`` window blocks with the smallest gaps; the k-th distances
+found tell which of the other blocks can hold something nearer, and only those are multiplied. Blocks meet by Spark
+joins on block numbers; the driver sees nothing of the queries or windows but the pivots, a constant number of vectors.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import vectors as vector_functions
 from chatlake.operators import filters
 from chatlake.plans.ordered import top_per_group
+from chatlake.session import durable
 
 NEIGHBOURS = 60
 SLACK = 0.06
 DEFAULT_MAX_DISTANCE = 0.55
 GAP_MICROS = 45 * 60_000_000
 GAPS_BEFORE = 4
-QUERY_CELLS = 16_000_000
-"""Query vector components held per task at once (128 MB of doubles); larger query tables take several passes."""
+PIVOTS = 16
+FIRST_BLOCKS = 3
+WINDOW_CELLS = 1 << 17
+"""Vector components in a block of windows (1 MB of doubles)."""
+QUERY_CELLS = 1 << 15
+"""The same in a block of queries."""
 DIGITS = 9
 ANCHOR_BYTES = 280
 
@@ -43,42 +57,149 @@ def search_bounds(parsed: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     )
 
 
-def _best_in_partition(queries, column: str, skip_self: bool):
-    """Blocked products of one Arrow batch with all queries; k rows per query leave the partition."""
+@dataclass(frozen=True)
+class Blocks:
+    """Queries and windows in blocks, and which of them meet."""
+
+    queries: DataFrame
+    windows: DataFrame
+    pairs: DataFrame  # query_block, window_block, gap
+    first: DataFrame  # query_block, window_block
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    block = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+    return block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
+
+
+def _pivots(vectors: DataFrame) -> np.ndarray:
+    """At most PIVOTS of the vectors, chosen by a hash."""
+    some = vectors.orderBy(F.xxhash64("id")).limit(PIVOTS).select("v").collect()
+    matrix = np.array([r["v"] for r in some], np.float64)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12) if len(some) else matrix
+
+
+_PLACED = "id long, k long, lo long, hi long, cell int, far double, v binary, away array<double>"
+_BLOCK = "block long, n int, ids binary, ks binary, los binary, his binary, matrix binary, least array<double>, most array<double>, lo long, hi long, k long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, ks, lo, hi = queries.value
-        best: list = [(np.empty(0), np.empty(0, np.int64)) for _ in ids]
-        for pdf in batches:
-            if not len(pdf):
+
+def _blocks(vectors: DataFrame, pivots: np.ndarray, cells: int) -> DataFrame:
+    """One row per block of (id, k, lo, hi, v), see _BLOCK."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            block = np.stack(pdf[column].to_numpy()).astype(np.float64)
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-12)
-            distance = np.round(1.0 - matrix @ block.T, DIGITS)
-            start = pdf["start"].to_numpy()
-            keys = pdf["window_id"].to_numpy()
-            for i in range(len(ids)):
-                ok = (start >= lo[i]) & (start < hi[i])
-                if skip_self:
-                    ok &= keys != ids[i]
-                d = np.concatenate([best[i][0], distance[i][ok]])
-                w = np.concatenate([best[i][1], keys[ok]])
-                if len(d) > ks[i]:
-                    edge = np.partition(d, ks[i] - 1)[ks[i] - 1]
-                    near = d <= edge
-                    d, w = d[near], w[near]
-                    order = np.lexsort((w, d))[: ks[i]]
-                    d, w = d[order], w[order]
-                best[i] = (d, w)
-        yield pd.DataFrame(
-            {
-                "query_id": np.repeat(ids, [len(b[0]) for b in best]),
-                "window_id": np.concatenate([b[1] for b in best]) if best else np.empty(0, np.int64),
-                "distance": np.concatenate([b[0] for b in best]) if best else np.empty(0),
-            }
+            unit = _unit(batch.column(4))
+            away = np.sqrt(np.maximum((unit * unit).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None] - 2 * unit @ pivots.T, 0))
+            cell = away.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:4], pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(cell)), cell]),
+                    pa.array([row.tobytes() for row in unit], pa.binary()), pa.array(list(away), pa.list_(pa.float64())),
+                ],
+                names=["id", "k", "lo", "hi", "cell", "far", "v", "away"],
+            )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, cell = TaskContext.get().partitionId() << 32, [], None
+
+        def row():
+            ids, ks, los, his = (np.array([r[c] for r in held], np.int64) for c in range(4))
+            away = np.array([r[7] for r in held])
+            return {
+                "block": number, "n": len(held), "ids": ids.tobytes(), "ks": ks.tobytes(), "los": los.tobytes(), "his": his.tobytes(),
+                "matrix": b"".join(r[6] for r in held), "least": away.min(axis=0).tolist(), "most": away.max(axis=0).tolist(),
+                "lo": int(los.min()), "hi": int(his.max()), "k": int(ks.max()),
+            }
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (r[4] != cell or len(held) * len(r[6]) >= 8 * cells):
+                    yield pa.RecordBatch.from_pylist([row()])
+                    number, held = number + 1, []
+                cell = r[4]
+                held.append(r)
+        if held:
+            yield pa.RecordBatch.from_pylist([row()])
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(
+            [("block", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("ids", "ks", "los", "his", "matrix")]]
+            + [("least", pa.list_(pa.float64())), ("most", pa.list_(pa.float64())), ("lo", pa.int64()), ("hi", pa.int64()), ("k", pa.int64())]
         )
+        for batch in pack(batches):
+            yield pa.RecordBatch.from_pylist(batch.to_pylist(), schema=schema)
+
+    placed = vectors.select("id", "k", "lo", "hi", "v").mapInArrow(place, _PLACED)
+    ordered = placed.repartitionByRange("cell", "far", "id").sortWithinPartitions("cell", "far", "id")
+    return durable(ordered.mapInArrow(shaped, _BLOCK))
 
-    return run
+
+def blocks(queries: DataFrame, windows: DataFrame, query_cells: int = QUERY_CELLS, window_cells: int = WINDOW_CELLS) -> Blocks | None:
+    """Blocks of (id, k, lo, hi, v); None if there are no windows. Only summaries of blocks are paired, none of their rows."""
+    pivots = _pivots(windows)
+    if not len(pivots):
+        return None
+    asked, held = _blocks(queries, pivots, query_cells), _blocks(windows, pivots, window_cells)
+    q = asked.select(F.col("block").alias("query_block"), F.arrays_zip("least", "most").alias("_q"), F.col("lo").alias("_from"), F.col("hi").alias("_to"))
+    w = held.select(F.col("block").alias("window_block"), F.arrays_zip("least", "most").alias("_w"), F.col("lo").alias("_first"), F.col("hi").alias("_last"))
+    apart = F.zip_with("_q", "_w", lambda a, b: F.greatest(b["least"] - a["most"], a["least"] - b["most"], F.lit(0.0)))
+    pairs = q.join(w, (F.col("_last") >= F.col("_from")) & (F.col("_first") < F.col("_to"))).select(
+        "query_block", "window_block", F.array_max(apart).alias("gap")
+    )
+    first = top_per_group(pairs, ["query_block"], [F.col("gap"), F.col("window_block")], FIRST_BLOCKS)
+    return Blocks(asked, held, pairs, first.select("query_block", "window_block"))
+
+
+_NEAR = "query_block long, query_id long, window_id long, distance double"
+
+
+def _multiplied(pairs: DataFrame, b: Blocks, skip_self: bool) -> DataFrame:
+    """The k nearest windows of every query in each pair of blocks."""
+    q = b.queries.select(F.col("block").alias("query_block"), *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "ks", "los", "his", "matrix")])
+    w = b.windows.select(F.col("block").alias("window_block"), *[F.col(c).alias(f"w_{c}") for c in ("n", "ids", "los", "matrix")])
+    rows = pairs.select("query_block", "window_block").join(q, "query_block").join(w, "window_block").drop("window_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                yield _nearest(row, skip_self)
+
+    return rows.mapInArrow(run, _NEAR)
+
+
+def _nearest(row: dict, skip_self: bool) -> pa.RecordBatch:
+    ids, ks, lo, hi = (np.frombuffer(row[f"q_{c}"], np.int64) for c in ("ids", "ks", "los", "his"))
+    keys, start = np.frombuffer(row["w_ids"], np.int64), np.frombuffer(row["w_los"], np.int64)
+    product = np.frombuffer(row["q_matrix"]).reshape(row["q_n"], -1) @ np.frombuffer(row["w_matrix"]).reshape(row["w_n"], -1).T
+    distance = np.round(1.0 - product, DIGITS)
+    allowed = (start[None] >= lo[:, None]) & (start[None] < hi[:, None])
+    if skip_self:
+        allowed &= keys[None] != ids[:, None]
+    distance[~allowed] = np.inf
+    k = int(ks.max())
+    if k < len(keys):
+        edge = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        allowed &= distance <= edge  # all of equal distance; the best k are ranked later
+    of, at = np.nonzero(allowed)
+    columns = [np.full(len(of), row["query_block"]), ids[of], keys[at], distance[of, at]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_block", "query_id", "window_id", "distance"])
+
+
+def open_pairs(b: Blocks, one: DataFrame) -> DataFrame:
+    """Pairs of blocks that have not met and may hold something as near as the k-th found so far."""
+    order = Window.partitionBy("query_id").orderBy("distance", "window_id")
+    asked = b.queries.select(F.col("block").alias("query_block"), "n", F.col("k").alias("_k"))
+    ranked = one.join(asked, "query_block").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("_k"))
+    per_query = ranked.groupBy("query_block", "query_id", "_k", "n").agg(F.count(F.lit(1)).alias("_found"), F.max("distance").alias("_edge"))
+    full = per_query.filter("_found >= _k").groupBy("query_block", "n").agg(F.count(F.lit(1)).alias("_full"), F.max("_edge").alias("_edge"))
+    floors = full.filter("_full = n").select("query_block", "_edge")  # blocks in which every query has found k
+    rest = b.pairs.join(b.first, ["query_block", "window_block"], "left_anti").join(floors, "query_block", "left")
+    return rest.filter(F.col("_edge").isNull() | (F.col("gap") * F.col("gap") / 2 <= F.col("_edge") + 1e-8))
 
 
 def knn(
@@ -89,44 +210,28 @@ def knn(
     column: str = "v",
     skip_self: bool = False,
     query_cells: int | None = None,
+    window_cells: int | None = None,
 ) -> DataFrame:
-    """(query_id, window_id, distance, rank): the ``k`` nearest windows of every query, exactly.
-
-    ``vectors`` is scanned where it lies and nothing of it is shuffled: each task multiplies its
-    batches with the query matrix and passes on k rows per query. The matrix is broadcast in
-    parts whose size is checked; every further part is one more scan.
-    """
+    """(query_id, window_id, distance, rank): the ``k`` nearest windows of every query, exactly."""
     spark = vectors.sparkSession
+    low, high = F.lit(-(2**62)), F.lit(2**62)
     if bounds is None:
-        bounds = query_vectors.select(
-            "query_id", F.lit(k).alias("k"), F.lit(-(2**62)).alias("lo"), F.lit(2**62).alias("hi")
-        )
-    asked = query_vectors.select("query_id", F.col(column).cast("array<double>").alias("v")).join(bounds, "query_id")
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims"), F.max("k").alias("k")).first()
-    schema = "query_id long, window_id long, distance double"
-    if not size["n"]:
-        empty = spark.createDataFrame([], schema)
-        return empty.withColumn("rank", F.lit(0).cast("long"))
-    parts = -(-size["n"] * size["dims"] // (query_cells or QUERY_CELLS))
+        bounds = query_vectors.select("query_id", F.lit(k).alias("k"), low.alias("lo"), high.alias("hi"))
+    asked = query_vectors.filter(F.col(column).isNotNull()).select("query_id", F.col(column).cast("array<double>").alias("v")).join(bounds, "query_id")
+    asked = asked.select(F.col("query_id").alias("id"), F.col("k").cast("long").alias("k"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "v")
     start = F.unix_micros("start_ts") if "start_ts" in vectors.columns else F.lit(0).cast("long")
-    scanned = vectors.filter(F.col(column).isNotNull()).select(
-        "window_id", start.alias("start"), F.col(column).cast("array<double>").alias("v")
+    held = vectors.filter(F.col(column).isNotNull()).select(
+        F.col("window_id").alias("id"), F.lit(0).cast("long").alias("k"), start.alias("lo"), start.alias("hi"), F.col(column).cast("array<double>").alias("v")
     )
-    found = None
-    for part in range(parts):
-        chosen = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        pdf = chosen.orderBy("query_id").toPandas()  # at most QUERY_CELLS numbers
-        if not len(pdf):
-            continue
-        matrix = np.stack(pdf["v"].to_numpy())
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        held = spark.sparkContext.broadcast(
-            (pdf["query_id"].to_numpy(), matrix, pdf["k"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy())
-        )
-        best = scanned.mapInPandas(_best_in_partition(held, "v", skip_self), schema)
-        found = best if found is None else found.unionByName(best)
-    ranked = top_per_group(found, ["query_id"], [F.col("distance"), F.col("window_id")], int(size["k"]))
-    return ranked.join(bounds.select("query_id", "k"), "query_id").filter("rank <= k").drop("k")
+    met = blocks(asked, held, query_cells or QUERY_CELLS, window_cells or WINDOW_CELLS)
+    if met is None:
+        return spark.createDataFrame([], "query_id long, window_id long, distance double, rank long")
+    one = durable(_multiplied(met.first, met, skip_self))
+    two = _multiplied(open_pairs(met, one), met, skip_self)
+    order = Window.partitionBy("query_id").orderBy("distance", "window_id")
+    found = one.unionByName(two).select("query_id", "window_id", "distance")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.join(bounds.select("query_id", F.col("k").alias("_k")), "query_id").filter("rank <= _k").drop("_k")
 
 
 def knn_among(

@@ -1,17 +1,20 @@
 """Conversation windows: spans of consecutive messages of one chat.
 
 A window ends when the chat is silent for longer than the gap, or when the next line would
-take it over the byte cap or the message cap. The gap rule is a lag; the caps are a greedy
-fold over the lines of a gap session, done in one streaming pass over sorted partitions, so
-no session is ever held in memory. Chats too large for one task are cut into slices (see
-``plans.ordered``); the state that the fold carries into each slice is worked out from one
-small summary row per slice.
+take it over the byte cap or the message cap. The gap rule is a lag. The caps are worked out for whole
+Arrow batches of sorted rows: prefix sums of the line sizes give, by binary search, where the next
+window starts if one starts at a row; the rows that are starts are marked by doubling this
+successor table. Only the open window (its rows, bytes and first id) goes from batch to batch, so
+no session is ever held in memory and no step is taken per message. Chats too large for one task
+are cut into slices (see ``plans.ordered``); the open window on entering each slice is worked out
+from one small summary row per slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,30 +67,108 @@ _SUMMARY = (
     "chat_id long, part int, head array<int>, broken boolean, "
     "exits array<struct<n:int,bytes:int,first_id:long>>, n int, bytes int"
 )
+_SUMMARY_SCHEMA = pa.schema(
+    [
+        ("chat_id", pa.int64()), ("part", pa.int32()), ("head", pa.list_(pa.int32())), ("broken", pa.bool_()),
+        ("exits", pa.list_(pa.struct([("n", pa.int32()), ("bytes", pa.int32()), ("first_id", pa.int64())]))), ("n", pa.int32()), ("bytes", pa.int32()),
+    ]
+)
 _ENTRY = "chat_id long, _slice int, n_in int, bytes_in int, id_in long"
 
 
+class Run:
+    """Lines of one batch in order, with where a next window starts for every row on which one may start."""
+
+    def __init__(self, sizes: np.ndarray, breaks: np.ndarray, max_bytes: int, max_messages: int):
+        n = len(sizes)
+        self.n, self.max_bytes, self.max_messages = n, max_bytes, max_messages
+        self.used = np.concatenate([[0], np.cumsum(sizes + 1)])  # a line and its end
+        self.full = self.used[1:] - 1  # what a window from row 0 would have with this line
+        places = np.flatnonzero(breaks)
+        after = np.searchsorted(places, np.arange(n), "right")
+        self.broken = np.append(places, n)[after]  # the next break after each row
+        self.first_break = int(places[0]) if len(places) else n
+        over = np.searchsorted(self.full, self.used[:-1] + max_bytes, "right")
+        at = np.arange(n)
+        step = np.minimum(np.minimum(self.broken, at + max_messages), np.maximum(over, at + 1))
+        jump = np.append(np.minimum(step, n), n)
+        self.jumps = [jump]
+        while (self.jumps[-1][:-1] < n).any():  # the last table leads past the end from everywhere
+            self.jumps.append(self.jumps[-1][self.jumps[-1]])
+
+    def opening(self, n: int, used: int) -> int:
+        """The first row that starts a window when one of ``n`` rows and ``used`` bytes is open."""
+        if n == 0:
+            return 0
+        over = int(np.searchsorted(self.full, self.max_bytes - used, "right"))
+        return min(self.first_break, over, max(self.max_messages - n, 0), self.n)
+
+    def starts(self, first: int) -> np.ndarray:
+        """Which rows start a window if ``first`` does, none before it being one."""
+        marked = np.zeros(self.n + 1, bool)
+        marked[first] = True
+        for jump in self.jumps:
+            marked[jump[np.flatnonzero(marked)]] = True
+        return marked[: self.n]
+
+    def last(self, first: np.ndarray) -> np.ndarray:
+        """The last start reached from each of some starts."""
+        for jump in reversed(self.jumps):
+            onward = jump[first]
+            first = np.where(onward < self.n, onward, first)
+        return first
+
+    def leaving(self, start: int) -> tuple[int, int]:
+        """Rows and bytes of the window open at the end, if it started at a row."""
+        return self.n - start, int(self.used[-1] - self.used[start])
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _changes(chat: np.ndarray, part: np.ndarray, key: tuple | None) -> np.ndarray:
+    """Rows that begin another (chat, slice) than the row before."""
+    new = np.ones(len(chat), bool)
+    new[1:] = (chat[1:] != chat[:-1]) | (part[1:] != part[:-1])
+    if key is not None and len(chat):
+        new[0] = (int(chat[0]), int(part[0])) != key
+    return new
+
+
 def _fold(max_bytes: int, max_messages: int):
     """Greedy caps over rows sorted by (chat, slice, ts, id): adds the id of each row's window start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, used, first = None, 0, 0, None
         for batch in batches:
-            columns = ("chat_id", "_slice", "message_id", "gap_break", "size", "n_in", "bytes_in", "id_in")
-            rows = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
-            firsts = []
-            for chat, part, message, gap, size, n_in, bytes_in, id_in in rows:
-                if (chat, part) != key:
-                    key, n, used, first = (chat, part), n_in, bytes_in, id_in
-                if gap or n == 0 or n >= max_messages or used + size > max_bytes:
-                    n, used, first = 0, 0, message
-                n += 1
-                used += size + 1
-                firsts.append(first)
+            chat, part, ids, sizes, n_in = (_numbers(batch, c) for c in ("chat_id", "_slice", "message_id", "size", "n_in"))
+            new = _changes(chat, part, key)
+            breaks = (_numbers(batch, "gap_break") > 0) | (new & (n_in == 0))
+            # only a slice that an open window reaches into needs its own beginning
+            cuts = [0, *[int(k) for k in np.flatnonzero(new & (n_in > 0)) if k], len(ids)]
+            firsts = np.empty(len(ids), np.int64)
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                if new[a]:
+                    row = batch.slice(a, 1)
+                    n, used, first = (row.column(c)[0].as_py() for c in ("n_in", "bytes_in", "id_in"))
+                lines_ = Run(sizes[a:z], breaks[a:z], max_bytes, max_messages)
+                at = lines_.opening(n, used)
+                marked = lines_.starts(at)
+                where = np.flatnonzero(marked)
+                if len(where) == 0 or where[0] > 0:
+                    firsts[a : a + at] = first
+                firsts[a + at : z] = ids[a:z][np.repeat(where, np.diff(np.append(where, lines_.n)))]
+                if len(where):
+                    (n, used), first = lines_.leaving(int(where[-1])), int(ids[a + where[-1]])
+                else:
+                    n, used = n + lines_.n, used + int(lines_.used[-1])
+            if len(ids):
+                key = (int(chat[-1]), int(part[-1]))
             out = [batch.column(c) for c in ("chat_id", "ts", "message_id", "line")]
-            yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(firsts, pa.int64())], names=["chat_id", "ts", "message_id", "line", "first_id"]
-            )
+            yield pa.RecordBatch.from_arrays([*out, pa.array(firsts)], names=["chat_id", "ts", "message_id", "line", "first_id"])
 
     return run
 
@@ -97,52 +178,50 @@ def _summarise(max_bytes: int, max_messages: int):
 
     ``head`` holds the line sizes up to the first gap (at most ``max_messages`` of them): with
     the state on entry they tell where the first window of the slice starts. ``exits[k]`` is
-    the state on leaving when that first start is row k. Chains that start a window on the
-    same row merge, so a slice is followed by at most ``max_messages`` chains.
+    the state on leaving when that first start is row k. So a slice is followed by at most
+    ``max_messages`` chains.
     """
 
-    def start(size, message):
-        return (1, size + 1, message)
-
-    def step(state, gap, size, message):
-        n, used, first = state
-        if gap or n >= max_messages or used + size > max_bytes:
-            return start(size, message)
-        return (n + 1, used + size + 1, first)
-
     def row_of(key, head, broken, chains, n, used):
-        exits: list = [None] * max_messages
-        for state, members in chains.items():
-            for k in members:
-                exits[k] = dict(zip(("n", "bytes", "first_id"), state, strict=True))
+        exits = [None if c is None else dict(zip(("n", "bytes", "first_id"), c, strict=True)) for c in chains]
+        exits += [None] * (max_messages - len(exits))
         return {
             "chat_id": key[0], "part": key[1], "head": head, "broken": broken, "exits": exits, "n": n, "bytes": used,
         }
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, head, broken, chains, n, used = None, [], False, {}, 0, 0
-        for pdf in batches:
-            done = []
-            columns = ("chat_id", "_slice", "message_id", "gap_break", "size")
-            for chat, part, message, gap, size in zip(*(pdf[c].tolist() for c in columns), strict=True):
-                if (chat, part) != key:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head, broken, chains, n, used = None, [], False, [], 0, 0
+        for batch in batches:
+            chat, part, ids, sizes, gaps = (_numbers(batch, c) for c in ("chat_id", "_slice", "message_id", "size", "gap_break"))
+            new, done = _changes(chat, part, key), []
+            cuts = [0, *[int(k) for k in np.flatnonzero(new) if k], len(ids)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                if new[a]:
                     if key is not None:
                         done.append(row_of(key, head, broken, chains, n, used))
-                    key, head, broken, chains, n, used = (chat, part), [], False, {}, 0, 0
-                broken = broken or bool(gap)
-                if not broken and len(head) < max_messages:
-                    head.append(size)
-                moved: dict = {}
-                for state, members in chains.items():
-                    moved.setdefault(step(state, gap, size, message), []).extend(members)
-                if n < max_messages:
-                    moved.setdefault(start(size, message), []).append(n)
-                chains = moved
-                n, used = n + 1, used + size + 1
+                    key, head, broken, chains, n, used = (int(chat[a]), int(part[a])), [], False, [], 0, 0
+                lines_ = Run(sizes[a:z], gaps[a:z] > 0, max_bytes, max_messages)
+                if not broken:
+                    head += sizes[a : a + min(lines_.first_break, max_messages - len(head))].tolist()
+                    broken = lines_.first_break < lines_.n
+                moved = []
+                for rows, bytes_, first in chains:
+                    at = lines_.opening(rows, bytes_)
+                    if at == lines_.n:
+                        moved.append((rows + lines_.n, bytes_ + int(lines_.used[-1]), first))
+                    else:
+                        last = int(lines_.last(np.array([at]))[0])
+                        moved.append((*lines_.leaving(last), int(ids[a + last])))
+                fresh = np.arange(min(max_messages - n, lines_.n)) if n < max_messages else np.empty(0, np.int64)
+                for last in lines_.last(fresh).tolist():
+                    moved.append((*lines_.leaving(last), int(ids[a + last])))
+                chains, n, used = moved, n + lines_.n, used + int(lines_.used[-1])
             if done:
-                yield pd.DataFrame(done)
+                yield pa.RecordBatch.from_pylist(done, schema=_SUMMARY_SCHEMA)
         if key is not None:
-            yield pd.DataFrame([row_of(key, head, broken, chains, n, used)])
+            yield pa.RecordBatch.from_pylist([row_of(key, head, broken, chains, n, used)], schema=_SUMMARY_SCHEMA)
 
     return run
 
@@ -195,7 +274,7 @@ def assign(
     hot = sized.filter("_slice >= 0").sortWithinPartitions(*order)
     entry = (
         hot.select(*by, "message_id", "gap_break", "size")
-        .mapInPandas(_summarise(max_bytes, max_messages), _SUMMARY)
+        .mapInArrow(_summarise(max_bytes, max_messages), _SUMMARY)
         .groupBy("chat_id")
         .applyInPandas(_enter(max_bytes, max_messages), _ENTRY)
     )
