@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import documents, pair, query
+from chatlake.llm.common import documents, pair, query, small_transfers
 from chatlake.llm.pieces import PieceMemo, regular
 from chatlake.session import durable, ensure_checkpoint_dir
 
@@ -38,6 +38,8 @@ LENGTH = 2048
 ROWS = 512
 FILE_BYTES = 16 << 20
 END = 2
+#: Words that the library encodes in one call.
+WORDS = 10_000
 
 
 @lru_cache(maxsize=2)
@@ -60,6 +62,8 @@ def coder(path: str) -> tuple[PieceMemo, np.dtype]:
 
     def words(texts: list[str]) -> list[bytes]:
         """One call for all words: in their join each starts where a token starts with a blank. Those that hold white space go one by one."""
+        if len(texts) > WORDS:  # the library holds about a hundred bytes a token until it is done
+            return [ids for at in range(0, len(texts), WORDS) for ids in words(texts[at : at + WORDS])]
         if not texts:
             return []
         joined = " ".join(texts)
@@ -138,6 +142,7 @@ class TokenFile:
 # ---------------------------------------------------------------- the jobs
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END, length: int = LENGTH, file_bytes: int = FILE_BYTES) -> None:
     """Write (doc_id, text) as token files in ascending order of ids."""
+    small_transfers(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))
     ordered = docs.repartitionByRange(int(files), "doc_id").sortWithinPartitions("doc_id", "text")
