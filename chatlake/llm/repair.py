@@ -284,8 +284,6 @@ JOINED = f"conv string, {SUMMARY}, cost long, audit string, slice int, a int, b
 
 def _fold(batches):
     """Slices of a conversation in order: a row with the whole conversation (slice null), and the states at each slice's ends."""
-    import pyarrow as pa
-
     schema = _JOINED_SCHEMA
     at, ways, steps, total = None, {}, [], {}
 
