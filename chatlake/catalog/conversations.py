@@ -95,14 +95,13 @@ LATE = "event_type = 'signup'"
 LATE_WINDOWS = v.with_(
     v.EVENT_MESSAGES,
     EVENT_LINES,
-    "old_lines AS (SELECT * FROM lines WHERE message_id NOT IN (SELECT event_id FROM events WHERE event_type = 'signup'))",
+    "old_lines AS (SELECT * FROM lines WHERE message_id NOT IN (SELECT event_id FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-20'))",
     window_ctes(DAY_MINUTES, "old_lines", "old_"),
     "dirty AS (SELECT user_id AS chat_id, min(ts) AS from_ts FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-20' GROUP BY 1)",
     f"""near AS (SELECT w.chat_id, min(w.start_ts) AS start_ts FROM old_windows w JOIN dirty d ON d.chat_id = w.chat_id
       WHERE epoch_us(w.end_ts) >= epoch_us(d.from_ts) - {DAY_MINUTES * 60_000_000} GROUP BY w.chat_id)""",
     "cut AS (SELECT d.chat_id, least(d.from_ts, coalesce(n.start_ts, d.from_ts)) AS cut_ts FROM dirty d LEFT JOIN near n ON n.chat_id = d.chat_id)",
-    """new_lines AS (SELECT l.* FROM lines l JOIN cut c ON c.chat_id = l.chat_id WHERE l.ts >= c.cut_ts
-      AND (l.message_id IN (SELECT message_id FROM old_lines) OR l.ts >= TIMESTAMP '2024-01-20'))""",
+    "new_lines AS (SELECT l.* FROM lines l JOIN cut c ON c.chat_id = l.chat_id WHERE l.ts >= c.cut_ts)",
     window_ctes(DAY_MINUTES, "new_lines", "new_"),
     recursive=True,
 )
@@ -111,10 +110,8 @@ LATE_WINDOWS = v.with_(
 def _late_events(d):
     """Sign-ups from 20 January on arrive after everything else."""
     m = d.event_messages()
-    signup = F.col("text") == "signup"
-    old = m.filter(~signup)
-    late = m.filter(signup & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp")))
-    return old, late
+    late = (F.col("text") == "signup") & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp"))
+    return m.filter(~late), m.filter(late)
 
 
 @query("window_dirty_cut", LATE_WINDOWS + "SELECT chat_id, epoch_us(cut_ts) // 1000 AS cut_ms FROM cut")
@@ -160,14 +157,13 @@ def window_span_members(d):
 
 @query(
     "window_pending",
-    TURN_WINDOWS + """SELECT first_id, text FROM windows WHERE n_messages > 1 ORDER BY start_ts DESC, first_id DESC LIMIT 100""",
+    TURN_WINDOWS + "SELECT first_id, text FROM windows WHERE chat_id % 2 = 1",
 )
 def window_pending(d):
-    """Windows of one message count as embedded already; the rest wait, newest first."""
+    """Windows of conversations with an even number are embedded already; all others wait."""
     built = windows.build(windows.assign(turn_lines(d)), d.turn_chats()).withColumn("window_id", F.col("first_id"))
-    done = built.filter("n_messages = 1").select("window_id", F.lit(NO_MODEL).alias("model_id"))
-    waiting = windows.pending(built, done, NO_MODEL)
-    return waiting.orderBy(F.desc("start_ts"), F.desc("first_id")).limit(100).select("first_id", "text")
+    done = built.filter("chat_id % 2 = 0").select("window_id", F.lit(NO_MODEL).alias("model_id"))
+    return windows.pending(built, done, NO_MODEL).select("first_id", "text")
 
 
 # --------------------------------------------------------------------- views

@@ -119,16 +119,18 @@ def nn_label_accuracy(d):
     "embed_coverage",
     v.with_(v.TURN_MESSAGES, "lines AS (SELECT chat_id, ts, message_id, who || ': ' || text AS line, title FROM messages WHERE text IS NOT NULL)",
             window_ctes(45), recursive=True)
-    + "SELECT count(*) FILTER (WHERE n_messages > 1) AS done, count(*) AS windows FROM windows",
+    + "SELECT 1 AS step, count(*) FILTER (WHERE chat_id % 2 = 0) AS done, count(*) AS windows FROM windows UNION ALL SELECT 2, count(*), count(*) FROM windows",
 )
 def embed_coverage(d):
-    """Windows of several messages have vectors; the single ones wait."""
+    """Conversations with an even number are embedded first, then, by what is still pending, the others."""
     from chatlake.catalog.conversations import turn_lines
 
     built = windows.build(windows.assign(turn_lines(d)), d.turn_chats()).withColumn("window_id", F.col("first_id"))
     nothing = built.limit(0).select("window_id", F.lit("").alias("model_id"))
-    stored = embed.embed_pending(built.filter("n_messages > 1"), nothing)
-    return embed.coverage(built, stored, embed.BagOfWords.model_id)
+    first = durable(embed.embed_pending(built.filter("chat_id % 2 = 0"), nothing))
+    both = first.unionByName(embed.embed_pending(built, first))
+    steps = [embed.coverage(built, stored, embed.BagOfWords.model_id).withColumn("step", F.lit(k)) for k, stored in ((1, first), (2, both))]
+    return steps[0].unionByName(steps[1])
 
 
 # -------------------------------------------------------------------- hybrid
