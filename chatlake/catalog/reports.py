@@ -37,6 +37,21 @@ def storage_top_chats(d):
     return storage.by_chat(d.attachments(), d.order_messages(), titled)
 
 
+@query(
+    "storage_top_groups",
+    v.with_(v.HANDLES, v.ORDER_MESSAGES, v.ATTACHMENTS, v.GROUP_MEMBERS, v.GROUP_MESSAGES, v.GROUP_TITLES)
+    + """SELECT g.chat_id, c.title, count(*) AS n, CAST(sum(a.bytes) AS BIGINT) AS bytes,
+      coalesce((SELECT string_agg(p.who, ', ' ORDER BY p.place) FROM people p WHERE p.chat_id = g.chat_id AND p.place <= 4), '') AS people
+    FROM attachments a JOIN group_messages g ON g.message_id = a.message_id LEFT JOIN chats c ON c.chat_id = g.chat_id
+    GROUP BY g.chat_id, c.title ORDER BY bytes DESC, g.chat_id LIMIT 20""",
+)
+def storage_top_groups(d):
+    """Group chats by attachment bytes, with their first people."""
+    titled = chats.titles(d.group_chats(), d.group_members(), d.handles())
+    top = storage.by_chat(d.attachments(), d.group_messages(), titled)
+    return storage.with_people(top, d.group_members(), d.handles()).withColumn("people", F.array_join("people", ", "))
+
+
 @query(
     "storage_present_bytes",
     v.with_(v.ATTACHMENTS, v.MANIFEST)

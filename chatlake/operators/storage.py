@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.operators.insights import first_members
 
 TOP_CHATS = 20
+TOP_CHAT_PEOPLE = 4
 
 # Size choices in decimal bytes.
 SIZE_BANDS = {"1 MB": 1_000_000, "10 MB": 10_000_000, "50 MB": 50_000_000, "100 MB": 100_000_000}
@@ -60,6 +62,14 @@ def by_chat(attachments: DataFrame, messages: DataFrame, chats: DataFrame, k: in
     )
 
 
+def with_people(top: DataFrame, members: DataFrame, handles: DataFrame, shown: int = TOP_CHAT_PEOPLE) -> DataFrame:
+    """Add the labels of the first few people of each chat; only members of the chats at hand are read on."""
+    inside = members.join(top.select("chat_id"), "chat_id", "left_semi")
+    label = F.struct("place", F.coalesce("name", "address").alias("who"))
+    people = first_members(inside, handles, shown).groupBy("chat_id").agg(F.array_sort(F.collect_list(label)).alias("_p"))
+    return top.join(people, "chat_id", "left").select(top["*"], F.coalesce(F.col("_p.who"), F.array().cast("array<string>")).alias("people"))
+
+
 def present_bytes(attachments: DataFrame, manifest: DataFrame) -> DataFrame:
     """Bytes whose file is listed in the manifest (a table with one ``path`` per present file)."""
     known = attachments.filter(F.col("path").isNotNull())
