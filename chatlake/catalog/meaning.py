@@ -9,10 +9,11 @@ from chatlake.catalog import views as v
 from chatlake.catalog.conversations import window_ctes
 from chatlake.catalog.registry import query
 from chatlake.functions import text, vectors
-from chatlake.operators import embed, evaluate, fusion, keyword, nearest, windows
+from chatlake.operators import embed, evaluate, fusion, ingest, keyword, nearest, windows
 from chatlake.plans import search as plan
 from chatlake.session import durable
 
+LINES = "lines AS (SELECT chat_id, ts, message_id, who || ': ' || text AS line, title FROM messages WHERE text IS NOT NULL)"
 STEP = "(CAST(2 AS DOUBLE) / 255)"
 
 
@@ -133,13 +134,30 @@ def embed_coverage(d):
     return steps[0].unionByName(steps[1])
 
 
+@query(
+    "corpus_window_stats",
+    v.with_(v.TURN_MESSAGES, LINES, window_ctes(45), recursive=True)
+    + """SELECT 'messages' AS metric, count(*) AS value FROM messages UNION ALL SELECT 'chats', count(DISTINCT chat_id) FROM messages
+    UNION ALL SELECT 'oldest', epoch_ms(min(ts)) FROM messages UNION ALL SELECT 'newest', epoch_ms(max(ts)) FROM messages
+    UNION ALL SELECT 'attachments', count(*) FROM lineitem UNION ALL SELECT 'windows', count(*) FROM windows
+    UNION ALL SELECT 'embedded_windows', count(*) FROM windows WHERE chat_id % 2 = 0""",
+)
+def corpus_window_stats(d):
+    """Totals of a history with windows, of which those of conversations with an even number have vectors."""
+    from chatlake.catalog.conversations import turn_lines
+
+    built = durable(windows.build(windows.assign(turn_lines(d)), d.turn_chats()).withColumn("window_id", F.col("first_id")))
+    nothing = built.limit(0).select("window_id", F.lit("").alias("model_id"))
+    stored = embed.embed_pending(built.filter("chat_id % 2 = 0"), nothing)
+    return ingest.corpus_stats(d.turn_messages(), d.attachments(), built, stored)
+
+
 # -------------------------------------------------------------------- hybrid
 def passages(d):
     """Every benchmark passage, whole, as a search for the documents that hold it."""
     return d.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-LINES = "lines AS (SELECT chat_id, ts, message_id, who || ': ' || text AS line, title FROM messages WHERE text IS NOT NULL)"
 ASKED = "asked AS (SELECT item_id AS query_id, text FROM benchmark)"
 EVERYTHING = "eligible AS (SELECT a.query_id, m.message_id, m.ts FROM asked a, messages m)"
 # Every fourth passage asks for a source, an author, links, or a time.
