@@ -277,7 +277,10 @@ shown AS (SELECT query_id, message_id, rank, 'keyword' AS matched_by FROM (
     SELECT query_id, message_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, message_id DESC) AS rank
     FROM (SELECT query_id, message_id, 1.0 / (60.0 + rank) AS score FROM strict UNION ALL SELECT query_id, message_id, 1.0 / (60.0 + rank) FROM relaxed))
   WHERE rank <= 20 UNION ALL SELECT query_id, message_id, rank, 'filter' FROM listed WHERE rank <= 20),
-s1 AS (SELECT s.*, m.title AS chat_title, CASE WHEN NOT m.from_me THEN 'Author ' || m.lang END AS sender, m.text AS t, k.p, length(m.text) AS n,
+chat_people AS (SELECT chat_id, string_agg(name, ', ' ORDER BY name) AS people FROM (
+    SELECT chat_id, 'Author ' || lang AS name, row_number() OVER (PARTITION BY chat_id ORDER BY lang) AS place FROM (SELECT DISTINCT chat_id, lang FROM messages))
+  WHERE place <= 4 GROUP BY chat_id),
+s1 AS (SELECT s.*, m.chat_id, m.title AS chat_title, CASE WHEN NOT m.from_me THEN 'Author ' || m.lang END AS sender, m.text AS t, k.p, length(m.text) AS n,
     coalesce(length(regexp_extract(m.text, '(?is)^(|.*?[^\\p{L}\\p{N}])(' || k.p || ')', 1)), 0) AS spot
   FROM shown s JOIN messages m ON m.message_id = s.message_id LEFT JOIN marks k ON k.query_id = s.query_id),
 s2 AS (SELECT *, CASE WHEN n <= 180 THEN 0 ELSE greatest(spot - 40, 0) END AS s FROM s1),
@@ -288,14 +291,16 @@ s5 AS (SELECT *, CASE WHEN p IS NULL THEN substring(t, start + 1) ELSE
 s6 AS (SELECT *, regexp_extract(marked, '^(?:[\\x02\\x03]*[^\\x02\\x03]){0,180}', 0) AS w FROM s5)
 SELECT query_id, rank, message_id, chat_title, sender, matched_by, (CASE WHEN start > 0 THEN '…' ELSE '' END) || w
     || (CASE WHEN length(w) - length(replace(w, chr(2), '')) > length(w) - length(replace(w, chr(3), '')) THEN chr(3) ELSE '' END)
-    || (CASE WHEN n > start + 180 THEN '…' ELSE '' END) AS snippet FROM s6"""
+    || (CASE WHEN n > start + 180 THEN '…' ELSE '' END) AS snippet, coalesce(people, '') AS people FROM s6 LEFT JOIN chat_people USING (chat_id)"""
 )
 
 
 @query("search_snippets", SEARCH.rstrip() + ",\n" + SNIPPETS)
 def search_snippets(d):
     hits = plan.search(searches(d), corpus(d), 20)
-    return hits.select("query_id", "rank", "message_id", "chat_title", "sender", "snippet", "matched_by")
+    people = F.array_join(F.transform("people", lambda p: F.coalesce(p["name"], p["address"])), ", ")
+    shown = hits.withColumn("people", F.coalesce(people, F.lit("")))
+    return shown.select("query_id", "rank", "message_id", "chat_title", "sender", "snippet", "matched_by", "people")
 
 
 # -------------------------------------------------------- filters over orders
