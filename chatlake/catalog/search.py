@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.catalog import views as v
 from chatlake.catalog.registry import query
 from chatlake.functions import text
-from chatlake.operators import filters, keyword, querytable
+from chatlake.operators import deltas, filters, keyword, querytable
 from chatlake.plans import search as plan
 from chatlake.session import durable, spread
 
@@ -201,6 +204,40 @@ def keyword_stats(d):
     return keyword.build_stats(documents(d)).select("n", F.round("avg_length", 9).alias("avg_length"))
 
 
+def batched_index(d):
+    """Signed postings and texts of the documents in three batches: drafts of every third, then the final texts
+    without every seventh, then the seventh are back."""
+    final = documents(d).select("message_id", "text")
+    drafts = final.withColumn("text", F.when(F.col("message_id") % 3 == 0, F.concat(F.lit("draft "), "text", F.lit(" the"))).otherwise(F.col("text")))
+    fewer = final.filter("message_id % 7 <> 0")
+    steps = [final.limit(0), drafts, fewer, final]
+    changed = [durable(deltas.changes(a, b)) for a, b in zip(steps, steps[1:])]
+    postings = [deltas.signed_postings(spread(c), i) for i, c in enumerate(changed, 1)]
+    texts = [deltas.signed_texts(c, i) for i, c in enumerate(changed, 1)]
+    return durable(reduce(DataFrame.unionByName, postings)), durable(reduce(DataFrame.unionByName, texts))
+
+
+@query(
+    "postings_folded",
+    DOCS + "SELECT term, message_id, count(*) AS tf, CAST(sum(pos) AS BIGINT) AS places FROM tok GROUP BY ALL",
+)
+def postings_folded(d):
+    """Postings after inserts, edits, deletions and returns in three batches: those of one build."""
+    p = deltas.live_postings(*batched_index(d))
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)
+    return p.select("term", "message_id", F.col("tf").cast("long").alias("tf"), places.alias("places"))
+
+
+@query("vocabulary_folded", DOCS + "SELECT term, df, n, round(avg_length, 9) AS avg_length FROM vocab, stats")
+def vocabulary_folded(d):
+    """Document frequencies and corpus figures as sums of signed counts."""
+    postings, texts = batched_index(d)
+    figures = durable(deltas.stats(texts))
+    terms = deltas.vocabulary(postings)
+    average = F.round(figures.select("avg_length").scalar(), 9)
+    return terms.select("term", "df", figures.select("n").scalar().alias("n"), average.alias("avg_length"))
+
+
 # ------------------------------------------------------------------- queries
 @query(
     "keyword_bm25",

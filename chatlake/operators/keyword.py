@@ -69,7 +69,7 @@ def build_vocabulary(postings: DataFrame) -> DataFrame:
 def build_stats(messages: DataFrame) -> DataFrame:
     """Rows of any kind, with or without text, and their mean number of tokens."""
     length = F.coalesce(F.size(text.tokens(F.col("text"))), F.lit(0))
-    return messages.agg(F.count(F.lit(1)).alias("n"), (F.sum(length) / F.count(F.lit(1))).alias("avg_length"))
+    return messages.agg(F.count(F.lit(1)).alias("n"), (F.sum(length) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("avg_length"))
 
 
 def build_index(messages: DataFrame) -> Index:
@@ -80,7 +80,7 @@ def build_index(messages: DataFrame) -> Index:
     postings = durable(build_postings(spread(messages.select("message_id", "text"))))
     lengths = postings.groupBy("message_id").agg(F.first("length").alias("length")).agg(F.sum("length")).scalar()
     n = messages.agg(F.count(F.lit(1)).alias("n"))
-    stats = n.select("n", (F.coalesce(lengths, F.lit(0)) / F.col("n")).alias("avg_length"))
+    stats = n.select("n", (F.coalesce(lengths, F.lit(0)) / F.nullif(F.col("n"), F.lit(0))).alias("avg_length"))
     return Index(postings, durable(build_vocabulary(postings)), durable(stats))
 
 

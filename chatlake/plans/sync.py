@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.operators import chats, embed, ingest, reactions, windows
+from chatlake.plans import stored
 from chatlake.session import durable
 from chatlake.sources import raw as raw_source
 from chatlake.sources.tables import History
@@ -55,8 +56,10 @@ def apply_messages(
     """Merge a batch; returns touched chats, changed rows and deleted rows.
 
     Incremental batches read and rewrite only the partitions they fall into. The list of chats
-    to rebuild is stored before anything else is, so that an interrupted run is made good later.
+    to rebuild is stored before anything else is, so that an interrupted run is made good later;
+    the keyword index gets its batch before the messages are written (see ``plans.stored``).
     """
+    stored.settle(history)
     batch = durable(batch)
     parts = [] if full else history.parts_of("messages", batch)
     current = history.read("messages") if full else history.read_parts("messages", parts)
@@ -74,10 +77,12 @@ def apply_messages(
     if not touched.isEmpty():
         history.replace("dirty", ingest.merge_dirty(history.read("dirty"), touched))
     if n_changed or n_deleted:
+        index_batch = stored.begin(history, current, rows)
         if full:
             history.replace("messages", rows)
         else:
             history.merge_parts("messages", rows, parts)
+        stored.commit(history, index_batch)
     if attachments is not None and (n_changed or n_deleted):
         fresh = durable(attachments.join(ingest.changed(merged).select("message_id"), "message_id", "left_semi"))
         if full:

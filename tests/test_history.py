@@ -8,8 +8,9 @@ from history import CHATS, CONTACTS, DAY, IDS, LAST_ID, MESSAGES, MINUTE, PEOPLE
 from pyspark.sql import functions as F
 
 from chatlake import schemas
-from chatlake.operators import embed, filters, fusion, keyword, querytable, views, windows
-from chatlake.plans import search, sync
+from chatlake.operators import embed, fusion, keyword, querytable, views, windows
+from chatlake.plans import search, stored, sync
+from chatlake.session import durable
 from chatlake.sources import raw as raw_source
 from chatlake.sources.tables import History
 from chatlake.streaming import feed
@@ -37,11 +38,7 @@ def history(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def corpus(history):
-    messages = filters.with_flags(history.read("messages"), history.read("attachments"))
-    return search.Corpus(
-        messages, history.read("handles"), history.read("chats"), history.read("members"), keyword.build_index(messages),
-        history.read("vectors"), windows.span_members(history.read("windows"), messages),
-    )
+    return stored.corpus(history)
 
 
 own = lambda row, chat: row["is_from_me"] == 1
@@ -144,6 +141,49 @@ def test_incremental_then_full(spark, tmp_path):
     assert (report.deleted, report.changed) == (len(more) - len(kept), 1)
     row = h.read("messages").filter(F.col("message_id") == IDS["valve"]).first()
     assert (row.text, row.edited) == ("model KX-41", True) and starts() == window_starts(kept)
+    assert same_index(h) and h.state(stored.COUNT) == "3"
+    asked = spark.createDataFrame([(1, "kx"), (2, "valve kx"), (3, "barn free")], "query_id long, text string")
+    found = search.search(asked, stored.corpus(h), keyword_only=True, relax_below=0).collect()
+    assert {(r.query_id, r.message_id) for r in found} == {(1, IDS["valve"]), (3, LAST_ID + 2)}
+
+
+def same_index(h):
+    """The stored index is what one build over the messages gives."""
+    rows = lambda index: (
+        sorted((r.term, r.message_id, r.tf, r.length, tuple(r.positions)) for r in index.postings.collect()),
+        sorted((r.term, r.df, r.stem) for r in index.vocabulary.collect()),
+        [(r.n, round(r.avg_length or 0, 9)) for r in index.stats.collect()],
+    )
+    return rows(stored.corpus(h).index) == rows(keyword.build_index(h.read("messages")))
+
+
+def test_interrupted_index_batches(spark, tmp_path):
+    h = History(spark, str(tmp_path / "h"))
+    sync.sync_people(h, raw(spark))
+    assert same_index(h)  # empty
+    third = len(MESSAGES) // 3
+    sync.apply_messages(h, raw_source.messages(raw(spark, MESSAGES[:third])))
+    assert same_index(h) and h.state(stored.COUNT) == "1"
+    # a batch is written, its messages are not: it does not count, and is dropped by the next run
+    held = h.read("messages")
+    stored.begin(h, held, held.withColumn("text", F.concat("text", F.lit(" lost"))))
+    assert same_index(h)
+    stored.settle(h)
+    assert same_index(h) and h.state(stored.COUNT) == "1"
+    # only some messages of a batch were written: those stay in it
+    even = F.col("message_id") % 2 == 0
+    wanted = held.filter("message_id % 3 <> 0").withColumn("text", F.concat("text", F.lit(" new")))
+    written = wanted.filter(even).unionByName(held.filter(~even))
+    stored.begin(h, held, wanted)
+    h.replace("messages", durable(written))
+    stored.settle(h)
+    assert same_index(h) and h.state(stored.COUNT) == "2"
+    sync.apply_messages(h, raw_source.messages(raw(spark)))
+    assert same_index(h) and h.state(stored.COUNT) == "3"
+    h.set_state(**{stored.COUNT: None})  # a history from before there was an index
+    assert h.state(stored.COUNT) is None
+    stored.settle(h)
+    assert same_index(h)
 
 
 def test_interrupted_rebuild_is_resumed(spark, tmp_path):
