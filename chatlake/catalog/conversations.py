@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from chatlake import schemas
 from chatlake.catalog import views as v
 from chatlake.catalog.registry import query
 from chatlake.operators import chats, insights, reactions, views, windows
+from chatlake.session import ensure_checkpoint_dir
+from chatlake.sources.tables import History
+from chatlake.streaming import sessions
 
 DAY_MINUTES = 1440
 NO_MODEL = "none"
+EVENT_COLUMNS = {"message_id", "source_id", "guid", "chat_id", "handle_id", "from_me", "ts", "text", "kind", "edited", "unsent", "has_link"}
 
 EVENT_LINES = """lines AS (
   SELECT m.chat_id, m.ts, m.message_id, (CASE WHEN m.from_me THEN 'Me' ELSE 'Them' END) || ': ' || m.text AS line,
@@ -91,6 +98,23 @@ def window_rebuild_all(d):
     return built.select("chat_id", "first_id", "last_id", "n_messages")
 
 
+@query("window_stream", EVENT_WINDOWS + "SELECT chat_id, first_id, last_id, n_messages, text FROM windows")
+def window_stream(d):
+    """The same windows from a stream of three parts: early events, later ones, which extend open windows, and sign-ups, which are late."""
+    ensure_checkpoint_dir(d.spark)
+    folder = f"{d.spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    history = History(d.spark, f"{folder}/history")
+    history.replace("chats", event_chats(d).selectExpr("chat_id", "'' AS identifier", "'' AS display_name", "'s' AS service", "title", "false AS is_group"))
+    columns = [F.expr(f"CAST({c if c in EVENT_COLUMNS else 'NULL'} AS {kind}) AS {c}") for c, kind in (f.split() for f in schemas.MESSAGES.split(", "))]
+    rows = d.event_messages().select(columns)
+    late, early = F.col("text") == "signup", F.col("ts") < "2024-01-15"
+    for part in (rows.filter(early & ~late), rows.filter(~early & ~late), rows.filter(late)):
+        part.write.mode("append").parquet(f"{folder}/landed")
+        stream = sessions.start(history, f"{folder}/landed", f"{folder}/stream", gap_minutes=DAY_MINUTES)
+        stream.trigger(availableNow=True).start().awaitTermination()
+    return history.read("windows").select("chat_id", "first_id", "last_id", "n_messages", "text")
+
+
 LATE = "event_type = 'signup'"
 LATE_WINDOWS = v.with_(
     v.EVENT_MESSAGES,

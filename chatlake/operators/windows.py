@@ -32,16 +32,23 @@ def _micros(minutes: int) -> Column:
     return F.lit(minutes * 60_000_000)
 
 
-def lines(messages: DataFrame, handles: DataFrame) -> DataFrame:
-    """Rows that go into windows, rendered as ``who: body`` with the whole body; a line over the byte cap is a window of its own."""
+def _shown() -> Column:
+    """Rows that go into windows."""
+    plain = (F.col("kind") == kinds.TEXT) & ~F.col("unsent") & F.col("chat_id").isNotNull()
+    return plain & (F.col("text").isNotNull() | (F.col("attach_count") > 0))
+
+
+def with_line(messages: DataFrame, handles: DataFrame) -> DataFrame:
+    """Messages with their ``line``, ``who: body`` with the whole body; NULL for rows that go into no window."""
     people = handles.select("handle_id", F.coalesce("name", "address").alias("_who"))
     who = F.when(F.col("from_me"), F.lit("Me")).otherwise(F.coalesce("_who", F.lit("Them")))
-    body = F.coalesce("text", F.when(F.col("attach_count") > 0, F.lit("[attachment]")))
-    rows = messages.filter((F.col("kind") == kinds.TEXT) & ~F.col("unsent") & F.col("chat_id").isNotNull())
-    rows = rows.filter(F.col("text").isNotNull() | (F.col("attach_count") > 0))
-    return rows.join(people, "handle_id", "left").select(
-        "chat_id", "ts", "message_id", F.concat(who, F.lit(": "), body).alias("line")
-    )
+    line = F.concat(who, F.lit(": "), F.coalesce("text", F.lit("[attachment]")))
+    return messages.join(people, "handle_id", "left").withColumn("line", F.when(_shown(), line)).drop("_who")
+
+
+def lines(messages: DataFrame, handles: DataFrame) -> DataFrame:
+    """Rows that go into windows; a line over the byte cap is a window of its own."""
+    return with_line(messages.filter(_shown()), handles).select("chat_id", "ts", "message_id", "line")
 
 
 def gap_breaks(ordered: Ordered, gap_minutes: int = GAP_MINUTES, partitioned: bool = False) -> DataFrame:
