@@ -184,6 +184,29 @@ def embed_model(d):
     return done.select("id", "status", F.get("v", F.lit(0)).alias("value"))
 
 
+class Parts(Lengths):
+    """The same without rejections, for at most 100 words at a time, of which 20 are read again."""
+
+    model_id, max_tokens, overlap = "lengths-100", 100, 20
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(len(t))] for t in texts]
+
+
+@query(
+    "embed_parts",
+    """WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\\s*\\S+') AS w FROM documents),
+    p AS (SELECT *, unnest(range(0, greatest(len(w) - 20, 1), 80)) AS off FROM w),
+    q AS (SELECT doc_id, CASE WHEN len(w) <= 100 THEN text ELSE array_to_string(w[off + 1 : off + 100], '') END AS part,
+      greatest(least(100, len(w) - off), 1) AS n FROM p)
+    SELECT doc_id, 'embedded' AS status, round(CAST(sum((length(part) + 9) * n) AS DOUBLE) / sum(n), 6) AS value FROM q GROUP BY doc_id""",
+)
+def embed_parts(d):
+    """Every document wholly embedded: long ones in overlapping parts, averaged by their words."""
+    done = embed.embed_with(d.table("documents"), "doc_id", "text", Parts(), budget=2000)
+    return done.select("doc_id", "status", F.round(F.get("v", F.lit(0)), 6).alias("value"))
+
+
 @query(
     "transcript_patterns",
     f"""WITH t AS (SELECT item_id AS query_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),

@@ -16,6 +16,9 @@ from chatlake.functions import text, vectors
 from chatlake.operators import windows
 
 BATCH = 64
+TOKEN_BUDGET = 8192
+OVERLAP = 32
+WORD = r"\s*\S+"
 DONE, REJECTED = "embedded", "rejected"
 
 # The model's own buckets for words that mean the same.
@@ -81,7 +84,51 @@ def bag_of_words(rows: DataFrame, source: str, target: str = "v") -> DataFrame:
     return rows.withColumn(target, _unit_counts(F.transform(long, _bucket)))
 
 
-def _embed_batches(model: Embedder, prefix: str, batch: int):
+def token_parts(rows: DataFrame, key: str, source: str, most: int | None, overlap: int = OVERLAP) -> DataFrame:
+    """(id, part, parts, tokens, text): texts of more than ``most`` words in overlapping parts, others whole as they are.
+
+    A NULL text is an empty one. The parts of a text follow each other in its partition; without the overlaps they give
+    all of its words.
+    """
+    body = F.coalesce(F.col(source), F.lit(""))
+    words = rows.select(F.col(key).alias("id"), body.alias("text"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_w"))
+    n = F.size("_w")
+    if most is None:
+        return words.select("id", F.lit(0).alias("part"), F.lit(1).alias("parts"), n.alias("tokens"), "text")
+    step = most - overlap
+    if step < 1:
+        raise ValueError("parts must be longer than their overlap")
+    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))
+    cut = words.withColumn("parts", F.size(starts)).select("*", F.posexplode(starts).alias("part", "_at"))
+    text_ = F.when(n <= most, F.col("text")).otherwise(F.array_join(F.slice("_w", F.col("_at") + 1, F.lit(most)), ""))
+    return cut.select("id", "part", "parts", F.least(n - F.col("_at"), F.lit(most)).alias("tokens"), text_.alias("text"))
+
+
+def pack(tokens: np.ndarray, budget: int, most: int) -> Iterator[np.ndarray]:
+    """Row numbers of batches, shortest texts first: at most ``most`` texts, and at most ``budget`` tokens when all are
+    padded to the longest. A text over the budget is a batch of its own."""
+    order = np.argsort(tokens, kind="stable")
+    at = 0
+    while at < len(order):
+        ends = np.arange(1, min(most, len(order) - at) + 1)
+        n = max(int((ends * tokens[order[at : at + len(ends)]] <= budget).sum()), 1)  # padded sizes never fall
+        yield order[at : at + n]
+        at += n
+
+
+def _mean(parts: list, weights: list) -> list[float] | None:
+    """Mean by tokens, as long as the parts are on average; none where a part has none."""
+    if any(v is None for v in parts):
+        return None
+    if len(parts) == 1:
+        return parts[0]
+    vectors_, share = np.asarray(parts, dtype=np.float64), np.maximum(np.asarray(weights, dtype=np.float64), 1.0)
+    mean = share @ vectors_ / share.sum()
+    length = np.linalg.norm(mean)
+    return (mean * (share @ np.linalg.norm(vectors_, axis=1) / share.sum() / length)).tolist() if length > 0 else mean.tolist()
+
+
+def _embed_batches(model: Embedder, prefix: str, batch: int, budget: int):
     def attempt(texts: list[str]) -> list | None:
         try:
             out = model.embed(texts)
@@ -89,33 +136,47 @@ def _embed_batches(model: Embedder, prefix: str, batch: int):
             return None
         return out if len(out) == len(texts) else None
 
+    def vectors_of(texts: list[str], tokens: np.ndarray) -> list:
+        done: list = [None] * len(texts)
+        for chosen in pack(tokens, budget, batch):
+            got = attempt([texts[k] for k in chosen])
+            if got is None:  # one bad text must not cost the others
+                singles = [attempt([texts[k]]) for k in chosen]
+                got = [s[0] if s else None for s in singles]
+            for k, v in zip(chosen, got, strict=True):
+                done[k] = v
+        return done
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model.load()
+        parts, weights = [], []  # of the text that goes on in the next frame
         for pdf in frames:
-            done: list = []
-            texts = [prefix + t for t in pdf["text"]]
-            for at in range(0, len(texts), batch):
-                chunk = texts[at : at + batch]
-                got = attempt(chunk)
-                if got is None:  # one bad text must not cost the others
-                    singles = [attempt([t]) for t in chunk]
-                    got = [s[0] if s else None for s in singles]
-                done.extend(got)
-            yield pd.DataFrame(
-                {"id": pdf["id"], "v": done, "status": [REJECTED if v is None else DONE for v in done]}
-            )
+            ids, out = [], []
+            done = vectors_of([prefix + t for t in pdf["text"]], pdf["tokens"].to_numpy(np.int64))
+            for key, part, of, n, v in zip(pdf["id"], pdf["part"], pdf["parts"], pdf["tokens"], done, strict=True):
+                parts.append(v)
+                weights.append(n)
+                if part == of - 1:
+                    ids.append(key)
+                    out.append(_mean(parts, weights))
+                    parts, weights = [], []
+            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "v": pd.Series(out, dtype=object), "status": pd.Series([REJECTED if v is None else DONE for v in out], dtype=object)})
 
     return run
 
 
-def embed_with(rows: DataFrame, key: str, source: str, model: Embedder, prefix: str | None = None, batch: int = BATCH) -> DataFrame:
-    """Vectors of ``source`` by a plug-in model: Arrow batches, sorted by length so that padding is small.
+def embed_with(
+    rows: DataFrame, key: str, source: str, model: Embedder, prefix: str | None = None, batch: int = BATCH, budget: int = TOKEN_BUDGET
+) -> DataFrame:
+    """Vectors of ``source`` by a plug-in model, in batches of texts of like length within a token budget.
 
-    Rows a model rejects come back with status ``rejected`` and no vector.
+    Texts over the model's ``max_tokens`` (if it has that member) go in overlapping parts, and their vectors are averaged, so
+    all of every text is embedded. Rows a model rejects, wholly or a part of them, come back with status ``rejected`` and no
+    vector. Tokens are words here; a model with shorter tokens states fewer.
     """
-    ready = rows.select(F.col(key).alias("id"), F.col(source).alias("text")).sortWithinPartitions(F.length("text"))
-    out = ready.mapInPandas(
-        _embed_batches(model, model.passage_prefix if prefix is None else prefix, batch),
+    most = getattr(model, "max_tokens", None)
+    out = token_parts(rows, key, source, most, getattr(model, "overlap", OVERLAP)).mapInPandas(
+        _embed_batches(model, model.passage_prefix if prefix is None else prefix, batch, budget),
         "id long, v array<double>, status string",
     )
     return out.withColumnRenamed("id", key)
