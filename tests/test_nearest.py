@@ -67,3 +67,13 @@ def test_empty_sides(spark):
     asked = vectors(spark, clustered(2, 3), name="query_id")
     assert nearest.knn(asked, none).columns == ["query_id", "window_id", "distance", "rank"]
     assert nearest.knn(asked, none).count() == 0 and nearest.knn(asked.filter("1 = 0"), held).count() == 0
+
+
+def test_results_are_merged_before_they_leave_a_task(spark):
+    """A query's k best leave once for each group of window blocks, not for each block; equal vectors too."""
+    held = clustered(6, 600, spread=0.02) + [[1.0] * 16] * 200
+    one = vectors(spark, held).selectExpr("window_id AS id", "6L AS k", "0L AS lo", "1L AS hi", "v")
+    windows = one.selectExpr("id", "0L AS k", "0L AS lo", "0L AS hi", "v")
+    met = nearest.blocks(one, windows, 16 * 20, 16 * 20)
+    assert met.windows.count() >= 40
+    assert nearest._multiplied(met.pairs, met, True).count() <= 800 * 6 * 4
