@@ -94,3 +94,15 @@ def test_lengths_of_changes_are_counted_in_tasks(spark):
     assert [(r["message_id"], r["old_length"], r["new_length"], r["new_hash"] is None) for r in made.orderBy("message_id").collect()] == [
         (1, 3, 2, False), (2, 0, 0, False), (3, 1, 0, True),
     ]
+
+
+@pytest.mark.parametrize("below", [20, 0])
+def test_any_word_lists_alone_are_made_from_the_terms_of_their_queries(history, monkeypatch, below):
+    messages, parsed, resolved, index = history
+    best, seen = scan._best, []
+    monkeypatch.setattr(scan, "_best", lambda make, k: seen.append(make().b) or best(make, k))
+    want = ranks(keyword.keyword_search(parsed, index, messages, resolved, None, below).relaxed)
+    got = scan.keyword_search(parsed, messages, resolved, None, below, all_words=False)
+    assert ranks(got.relaxed) == want and got.strict.isEmpty()
+    assert bool(want) == bool(below) == bool(seen)
+    assert all(b.n < len(SAID) for b in seen)
