@@ -73,11 +73,17 @@ def apply_messages(
         touched = ingest.merge_dirty(touched, ingest.deleted_touched(gone))
         rows = merged.join(gone.select("source_id"), "source_id", "left_anti")
     touched = durable(touched)
-    n_changed = ingest.changed(merged).count()
+    by_change = {r["change"]: r["count"] for r in merged.groupBy("change").count().collect()}
+    n_changed = by_change.get("insert", 0) + by_change.get("update", 0)
     if not touched.isEmpty():
         history.replace("dirty", ingest.merge_dirty(history.read("dirty"), touched))
     if n_changed or n_deleted:
-        index_batch = stored.begin(history, current, rows)
+        before = current.limit(0)  # the index takes texts back only of messages that change or go
+        if n_deleted or by_change.get("update"):
+            going = merged.filter("change = 'update'").select("message_id")
+            going = going.unionByName(gone.select("message_id")) if full else going
+            before = current.join(going, "message_id", "left_semi")
+        index_batch = stored.begin(history, before, ingest.changed(rows))
         if full:
             history.replace("messages", rows)
         else:
